@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,7 +57,11 @@ def release(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
-    """Arrow batches to Python workers hold at most so many rows and bytes."""
+    """Arrow batches to Python workers hold at most so many rows and bytes; the workers find this package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

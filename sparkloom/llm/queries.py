@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op3_token_counts": "token_counts",
+    "op5_warc": "warc",
     "op7_benchmark_decontamination": "decontaminate",
 }
 
