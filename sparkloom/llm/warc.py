@@ -131,7 +131,7 @@ def _open(path: str):
 
     store, where = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
     store.create_dir(where.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(where)
+    return store.open_output_stream(where, compression=None)
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = 32 << 20) -> DataFrame:
