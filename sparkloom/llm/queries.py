@@ -7,6 +7,7 @@ import importlib
 #: query name -> module of this subpackage
 MODULES = {
     "op3_token_counts": "token_counts",
+    "op4_html_extraction": "wrapper",
     "op5_warc": "warc",
     "op7_benchmark_decontamination": "decontaminate",
 }
