@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op1_toxicity": "toxicity",
+    "op9_quality": "quality",
     "op3_token_counts": "token_counts",
     "op4_html_extraction": "wrapper",
     "op5_warc": "warc",
