@@ -93,7 +93,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbourhood is only ever reduced to its minimum, never gathered. Self loops are allowed; an empty table gives an
     empty table. Tables between rounds are written to the shared folder.
     """
-    e = materialise(edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
+    e = materialise(contract(edges.where("src is not null and dst is not null").select("src", "dst")).distinct(), "cc")
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
     star, first = e, e
     before = None
@@ -108,6 +108,35 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """The edges of each partition as stars u, v around the smallest node, self loops kept: as connected, with short paths.
+
+    A task holds the nodes of its own partition only.
+    """
+    bounded_batches(edges.sparkSession, 20_000)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(i):
+            while (r := root[i]) != i:
+                root[i] = r = root[r]
+                i = r
+            return i
+
+        for b in batches:
+            for a, z in zip(*columns(b, "src", "dst")):
+                root.setdefault(a, a)
+                root.setdefault(z, z)
+                a, z = find(a), find(z)
+                if a != z:
+                    root[max(a, z)] = min(a, z)
+        yield from batched(((i, find(i)) for i in root), schema)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -194,7 +194,7 @@ def chains(rows: DataFrame, percent: int) -> DataFrame:
             if (k := int(at.max())) >= 0:
                 last = (t[k], z[k], c[k])
 
-    return rows.mapInArrow(run, "src long, dst long").distinct()
+    return rows.mapInArrow(run, "src long, dst long")
 
 
 class _Node:
@@ -361,14 +361,12 @@ def similar(docs: DataFrame, percent: int = 75, n: int = 5, block_size: int = BL
     sketch = spark.sparkContext.broadcast(steps)
     every = both.where("block is null").select("doc_id", "n_shingles", _long_of("digest").alias("cls"))
     classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")), "classes")
-    edges = materialise(chains(prefixes(docs, sketch, percent, n), percent), "chains")
-    blocks = materialise(connected_components(edges), "blocks")
+    blocks = materialise(connected_components(chains(prefixes(docs, sketch, percent, n), percent)), "blocks")
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes, "cls")
     tasks = tasks_of(members, block_size)
     bounded_batches(spark)
     texts = docs.join(tasks.withColumnRenamed("doc_id", "rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-    links = materialise(links_in(texts, percent, n), "links")
-    found = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    found = connected_components(links_in(texts, percent, n)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     rooted = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = rooted.join(least, "root").select("cls", "component_id")
