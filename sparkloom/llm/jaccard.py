@@ -24,24 +24,23 @@ rows; other columns are ignored. Sets are compared by 64-bit hashes of shingles.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import batched, bounded_batches, columns, connected_components, materialise
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 #: Cells of the sketch that orders shingles, and classes in one task's piece of a block.
 SKETCH_BITS, BLOCK = 22, 4_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
 def words(text: str | None) -> list[bytes]:
-    return [w for w in _SPACE.split((text or "").encode().translate(_LOWER)) if w]
+    return (text or "").encode().translate(_LOWER).split()  # bytes.split() cuts at \x20 and \x09-\x0d
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -50,20 +49,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, memo: dict[bytes, int], n: int = 5) -> np.ndarray:
+def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     w = words(text)
     if not w:
         return np.zeros(0, np.uint64)
-    if len(memo) > 400_000:
-        memo.clear()
-    ids = []
-    for x in w:
-        h = memo.get(x)
-        if h is None:
-            h = memo[x] = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
-        ids.append(h)
-    a = np.array(ids, np.uint64)
+    a = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     with np.errstate(over="ignore"):
         k = min(n, len(a))
         h = np.full(len(a) - k + 1, k, np.uint64)
@@ -88,14 +79,13 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        memo: dict[bytes, int] = {}
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
 
         def rows():
             for b in batches:
                 held = []
                 for d, t in zip(*columns(b, "doc_id", "text")):
-                    s = shingles(t, memo, n)
+                    s = shingles(t, n)
                     held.append(s)
                     yield d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, None, None
                 if held:
@@ -143,12 +133,11 @@ def prefixes(docs: DataFrame, sketch, percent: int, n: int) -> DataFrame:
     schema = pa.schema([("token", pa.int64()), ("size", pa.int32()), ("cls", pa.int64()), ("indexed", pa.bool_())])
 
     def run(batches):
-        memo: dict[bytes, int] = {}
         seen: set[int] = set()
         for b in batches:
             tokens, sizes, ids, flags = [], [], [], []
             for (t,) in zip(*columns(b, "text")):
-                s = shingles(t, memo, n)
+                s = shingles(t, n)
                 if not len(s) or (c := class_id(s)) in seen:
                     continue
                 if len(seen) < 500_000:
@@ -328,7 +317,6 @@ def links_in(texts: DataFrame, percent: int, n: int) -> DataFrame:
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches):
-        memo: dict[bytes, int] = {}
 
         def rows():
             task, held = None, []
@@ -345,7 +333,7 @@ def links_in(texts: DataFrame, percent: int, n: int) -> DataFrame:
                     if t != task:
                         yield from solve()
                         task, held = t, []
-                    held.append((side, c, shingles(text, memo, n)))
+                    held.append((side, c, shingles(text, n)))
             yield from solve()
 
         yield from batched(rows(), schema)
