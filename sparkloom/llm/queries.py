@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op8_suffix_array_dedup": "repeats",
     "op10_jaccard_join": "jaccard",
     "op1_toxicity": "toxicity",
     "op9_quality": "quality",
