@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage
 MODULES = {
+    "op2_packing": "packing",
+    "op6_fingerprints": "fingerprints",
     "op8_suffix_array_dedup": "repeats",
     "op10_jaccard_join": "jaccard",
     "op1_toxicity": "toxicity",
