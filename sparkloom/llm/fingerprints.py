@@ -34,24 +34,28 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def _cell(key: Column, table: int, c: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 20 * table).bitwiseAND(F.lit(0xFFFFF)), F.lit(c)).cast("int") + table * c
+def prepared(keys: Column) -> Column:
+    """The digests with their checksums and the bits that place them: in the three tables (u0, u1, u2) and in buckets (g, b)."""
+    bits = lambda k, at: F.shiftrightunsigned(k, at).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), bits(k, 0).alias("u0"), bits(k, 16).alias("u1"), bits(k, 32).alias("u2"), F.shiftrightunsigned(F.xxhash64(k), 8).bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("g"), F.shiftrightunsigned(F.xxhash64(k), 36).bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("b")))
 
 
 def _entry(n, x, h) -> Column:
     return F.struct(n.alias("n"), x.alias("x"), h.alias("h"))
 
 
-def _zero() -> Column:
-    return _entry(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def _place(u: Column, table: int, c: int) -> Column:
+    """Cell of a digest in a table of c cells, a power of two."""
+    return u.bitwiseAND(F.lit(c - 1)) + F.lit(table * c)
 
 
 def sketch(keys: Column, c: int) -> Column:
-    """3 * c cells: count, XOR of digests, XOR of their checksums."""
-    add = lambda s, k: _entry(s.n + 1, s.x.bitwiseXOR(k), s.h.bitwiseXOR(F.xxhash64(k)))
+    """3 * c cells of prepared digests: count, XOR of digests, XOR of their checksums."""
+    zero = _entry(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    add = lambda s, p: _entry(s.n + 1, s.x.bitwiseXOR(p.k), s.h.bitwiseXOR(p.h))
 
     def table(t: int) -> Column:
-        return F.transform(F.sequence(F.lit(t * c), F.lit(t * c + c - 1)), lambda i: F.aggregate(F.filter(keys, lambda k: _cell(k, t, c) == i), _zero(), add))
+        return F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda i: F.aggregate(F.filter(keys, lambda p: p[f"u{t}"].bitwiseAND(F.lit(c - 1)) == i), zero, add))
 
     return F.concat(*map(table, range(3)))
 
@@ -62,57 +66,43 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column, c: int) -> Column:
     """Number of differing digests that peeling the subtracted cells recovers; null where cells remain."""
+    bits = lambda k, at: F.shiftrightunsigned(k, at).bitwiseAND(F.lit(c - 1)).cast("int") + F.lit(at // 16 * c)
+    pure = lambda cells: F.array_distinct(F.transform(F.filter(cells, lambda z: (F.abs(z.n) == 1) & (z.h == F.xxhash64(z.x))), lambda z: F.struct(z.x.alias("x"), z.n.alias("n"), z.h.alias("h"), bits(z.x, 0).alias("a"), bits(z.x, 16).alias("b"), bits(z.x, 32).alias("c"))))
+    off = lambda z, q: _entry(z.n - q.n, z.x.bitwiseXOR(q.x), z.h.bitwiseXOR(q.h))
 
     def step(s: Column, _) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s.cells, lambda z: (F.abs(z.n) == 1) & (z.h == F.xxhash64(z.x))), lambda z: F.struct(z.x.alias("x"), z.n.alias("n"))))
+        without = F.transform(s.cells, lambda z, i: F.aggregate(F.filter(s.pure, lambda q: (q.a == i) | (q.b == i) | (q.c == i)), z, off))
+        found = s.found + F.size(s.pure)
+        again = F.transform(F.array(without), lambda w: F.struct(w.alias("cells"), pure(w).alias("pure"), found.alias("found")))[0]
+        return F.when(F.size(s.pure) == 0, s).otherwise(again)
 
-        def without(p: Column) -> Column:
-            off = lambda z, q: _entry(z.n - q.n, z.x.bitwiseXOR(q.x), z.h.bitwiseXOR(F.xxhash64(q.x)))
-
-            def cell(z: Column, i: Column) -> Column:
-                table = F.floor(i / c).cast("int")
-                shift = table * 20
-                return F.aggregate(F.filter(p, lambda q: F.pmod(_unsigned(q.x, shift), F.lit(c)).cast("int") + table * c == i), z, off)
-
-            return F.struct(F.transform(s.cells, cell).alias("cells"), (s.found + F.size(p)).alias("found"))
-
-        # transform over an array of one value: a name for it
-        return F.when(F.exists(s.cells, lambda z: z.n != 0) | F.exists(s.cells, lambda z: z.x != 0), F.transform(F.array(pure), without)[0]).otherwise(s)
-
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    start = F.transform(F.array(cells), lambda w: F.struct(w.alias("cells"), pure(w).alias("pure"), F.lit(0).alias("found")))[0]
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(~F.exists(s.cells, lambda z: (z.n != 0) | (z.x != 0)), s.found))
 
 
-def _unsigned(key: Column, shift: Column) -> Column:
-    """Twenty bits of the digest from a place that is a column."""
-    return F.when(shift == 0, key).when(shift == 20, F.shiftrightunsigned(key, 20)).otherwise(F.shiftrightunsigned(key, 40)).bitwiseAND(F.lit(0xFFFFF))
-
-
-def _attempt(a: Column, b: Column, c: int) -> Column:
-    return peel(subtract(sketch(a, c), sketch(b, c)), c)
-
-
 def differing(a: Column, b: Column) -> Column:
-    """Digests in one set and not in the other, of one bucket: larger sketches until one peels."""
+    """Digests in one set and not in the other, of one bucket: larger sketches until one peels, at last without one."""
+    attempt = lambda c: peel(subtract(sketch(a, c), sketch(b, c)), c)
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(_attempt(a, b, 12), _attempt(a, b, 24), _attempt(a, b, 48), exact))
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(attempt(8), attempt(32), exact))
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Shared digests over all digests, from the fingerprints' cells or else from larger sketches."""
-    n = F.size(a) + F.size(b)
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt(n / F.lit(24.0))).cast("int"))
+def side_of(a: Column, b: Column) -> Column:
+    """Buckets are side * side, of about eight digests of each text."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / F.lit(16.0))).cast("int"))
 
-    def of(k: Column, parts: Column, high: bool) -> Column:
-        return F.pmod(F.shiftrightunsigned(k, 32 if high else 8).bitwiseAND(F.lit(0xFFFFFFF)) * 31 + F.shiftrightunsigned(k, 12 if high else 44), parts).cast("int")
+
+def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, side: Column) -> Column:
+    """Shared digests over all digests, from the fingerprints' cells or else from larger sketches. a, b: prepared."""
+    n = F.size(a) + F.size(b)
 
     def outer(g: Column) -> Column:
-        one = F.struct(F.filter(a, lambda k: of(k, side, True) == g).alias("a"), F.filter(b, lambda k: of(k, side, True) == g).alias("b"))
-        inner = lambda s: F.aggregate(F.sequence(F.lit(0), side - 1), F.lit(0), lambda acc, j: acc + differing(F.filter(s.a, lambda k: of(k, side, False) == j), F.filter(s.b, lambda k: of(k, side, False) == j)))
+        one = F.struct(F.filter(a, lambda p: F.pmod(p.g, side) == g).alias("a"), F.filter(b, lambda p: F.pmod(p.g, side) == g).alias("b"))
+        inner = lambda s: F.aggregate(F.sequence(F.lit(0), side - 1), F.lit(0), lambda acc, j: acc + F.transform(F.array(F.struct(F.filter(s.a, lambda p: F.pmod(p.b, side) == j).alias("a"), F.filter(s.b, lambda p: F.pmod(p.b, side) == j).alias("b"))), lambda t: differing(t.a, t.b))[0])
         return F.transform(F.array(one), inner)[0]
 
     buckets = F.aggregate(F.sequence(F.lit(0), side - 1), F.lit(0), lambda acc, g: acc + outer(g))
-    d = F.when(a == b, F.lit(0)).otherwise(F.coalesce(F.when(n <= 40, peel(subtract(sketch_a, sketch_b), 8)), buckets))
+    d = F.when(a == b, F.lit(0)).otherwise(F.coalesce(F.when(n <= 36, peel(subtract(sketch_a, sketch_b), 8)), buckets))
     return F.when(n == 0, F.lit(1.0)).otherwise((n - d) / (n + d).cast("double"))
 
 
@@ -146,9 +136,11 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n = F.length("text")
     edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.expr("left(head, cast(floor(length(text) / 2) as int))"))
     staged = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(edited).alias("edited_keys"), "next_keys")
-    staged = materialise(staged, "digests")
-    cells = staged.select("*", sketch(F.col("keys"), 8).alias("s"), sketch(F.col("edited_keys"), 8).alias("e"), sketch(F.col("next_keys"), 8).alias("x"))
-    return cells.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("keys"), F.col("edited_keys"), F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("keys"), F.col("next_keys"), F.col("s"), F.col("x")).alias("near_next"))
+    staged = materialise(staged.select("*", side_of(F.col("keys"), F.col("edited_keys")).alias("edited_side"), side_of(F.col("keys"), F.col("next_keys")).alias("next_side")), "digests")
+    ready = staged.select("doc_id", "n_chars", "edited_sha256", "edited_side", "next_side", prepared(F.col("keys")).alias("k"), prepared(F.col("edited_keys")).alias("ek"), prepared(F.col("next_keys")).alias("nk"))
+    cells = ready.select("*", sketch(F.col("k"), 8).alias("s"), sketch(F.col("ek"), 8).alias("e"), sketch(F.col("nk"), 8).alias("x"))
+    near = lambda b, sb, side: likeness(F.col("k"), F.col(b), F.col("s"), F.col(sb), F.col(side))
+    return cells.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), near("ek", "e", "edited_side").alias("near_edited"), near("nk", "x", "next_side").alias("near_next"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
