@@ -103,7 +103,7 @@ def debounced(events: DataFrame, millis: int = 500) -> DataFrame:
 
     events: key, ts. The fold over one key's sorted times needs that key's times together; keys are hash-partitioned.
     """
-    folded = events.select("key", F.unix_micros("ts").alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    folded = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     start = F.array().cast("array<struct<s:bigint,n:bigint>>")
 
     def step(acc, t):
@@ -113,4 +113,4 @@ def debounced(events: DataFrame, millis: int = 500) -> DataFrame:
         return F.when(F.size(acc) == 0, F.array(F.struct(t.alias("s"), F.lit(1).cast("long").alias("n")))).when(fresh, F.concat(acc, F.array(F.struct(t.alias("s"), F.lit(1).cast("long").alias("n"))))).otherwise(grown)
 
     batches = folded.select("key", F.explode(F.aggregate("ts", start, step)).alias("b"))
-    return batches.select("key", F.timestamp_micros("b.s").alias("batch_start"), F.col("b.n").alias("n"))
+    return batches.select("key", F.timestamp_micros("b.s").cast(dict(events.dtypes)["ts"]).alias("batch_start"), F.col("b.n").alias("n"))

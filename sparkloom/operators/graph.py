@@ -28,7 +28,8 @@ def callees_of(edges: DataFrame, key) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
 def trace(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
