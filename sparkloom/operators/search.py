@@ -45,10 +45,9 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def phrase(docs: DataFrame, field: str, words: str) -> DataFrame:
     """Documents in which the words follow one another."""
     terms = re.findall(r"[^\W_]+", words.lower())
-    t = tokens(F.coalesce(F.col(field), F.lit("")))
-    n = len(terms)
-    at = F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1)))
-    return docs.withColumn("_t", t).where(F.size("_t") >= n).where(F.exists(at, lambda i: F.slice("_t", i, n) == F.array(*map(F.lit, terms)))).drop("_t")
+    # Tokens hold no spaces, so a run of tokens is a run of the joined text between spaces.
+    joined = F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(field), F.lit(""))), " "), F.lit(" "))
+    return docs.where(joined.contains(f" {' '.join(terms)} "))
 
 
 _QUERY = re.compile(r'\s*(?:(\()|(\))|(AND|OR|NOT)\b|([+-])|(?:(\w+):)?(?:"([^"]*)"|([^\s()"+:^]+))(?:\^(\d+(?:\.\d+)?))?)')
