@@ -78,9 +78,9 @@ def sym_by_file(spark, sf):
     return symbols(spark, sf).where("language = 'Brand#11'").orderBy("id").limit(10_000)
 
 
-@query(f"with {SYMBOLS} select * from s where kind like '%brass%' and language <> 'Brand#11'")
+@query(f"with {SYMBOLS} select * from s where kind like '%econ%' and language <> 'Brand#11'")
 def sym_filter_kind_lang(spark, sf):
-    return symbols(spark, sf).where(F.col("kind").contains("brass") & (F.col("language") != "Brand#11"))
+    return symbols(spark, sf).where(F.col("kind").contains("econ") & (F.col("language") != "Brand#11"))
 
 
 @query("select o_orderkey, o_orderpriority from orders where o_orderstatus = 'O' order by o_orderkey limit 50 offset 20")
