@@ -210,11 +210,10 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return dealt.select(*names).mapInArrow(run, "key string, ts long, page_id long, kind string, digest string, file string, offset long, length long, run string, part int, pos long")
 
 
-def read_archives(spark: SparkSession, folder: str, history: DataFrame) -> DataFrame:
-    """Every record that the capture history lists: page_id, url, kind, digest, payload_bytes, payload_digest, refers_to."""
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record in the folder (join with a capture history to leave out files of lost attempts): page_id, url, kind, digest, payload_bytes, payload_digest, refers_to, file, offset."""
     bounded_batches(spark, 4, "64m")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    wanted = history.select("file").distinct()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
 
     def number(x: str | None):
@@ -241,7 +240,7 @@ def read_archives(spark: SparkSession, folder: str, history: DataFrame) -> DataF
 
         yield from batched(out(), schema)
 
-    records = files.join(wanted, "file", "left_semi").mapInArrow(run, "page_id long, url string, kind string, digest string, payload_bytes long, payload_digest string, refers_to long, file string, offset long")
+    records = files.mapInArrow(run, "page_id long, url string, kind string, digest string, payload_bytes long, payload_digest string, refers_to long, file string, offset long")
     return records
 
 
@@ -250,9 +249,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     runs = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     history = materialise(merge_runs(runs), "warc-history")
-    records = materialise(read_archives(spark, folder, history), "warc-records")
+    records = materialise(read_archives(spark, folder), "warc-records")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     placed = records.join(history.select("file", "offset", "part", "pos"), ["file", "offset"])
-    full = records.where("kind = 'response'").groupBy(F.col("page_id").alias("rid")).agg(F.max("payload_bytes").alias("rb"), F.max("payload_digest").alias("rd"))
+    full = placed.where("kind = 'response'").groupBy(F.col("page_id").alias("rid")).agg(F.max("payload_bytes").alias("rb"), F.max("payload_digest").alias("rd"))
     out = placed.join(full, F.col("refers_to") == F.col("rid"), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "rb").alias("payload_bytes"), F.coalesce("payload_digest", "rd").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", F.col("part").alias("history_part"), F.col("pos").alias("history_pos"))
