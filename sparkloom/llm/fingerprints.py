@@ -138,9 +138,9 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     staged = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(edited).alias("edited_keys"), "next_keys")
     staged = materialise(staged.select("*", side_of(F.col("keys"), F.col("edited_keys")).alias("edited_side"), side_of(F.col("keys"), F.col("next_keys")).alias("next_side")), "digests")
     ready = staged.select("doc_id", "n_chars", "edited_sha256", "edited_side", "next_side", prepared(F.col("keys")).alias("k"), prepared(F.col("edited_keys")).alias("ek"), prepared(F.col("next_keys")).alias("nk"))
-    cells = ready.select("*", sketch(F.col("k"), 8).alias("s"), sketch(F.col("ek"), 8).alias("e"), sketch(F.col("nk"), 8).alias("x"))
-    near = lambda b, sb, side: likeness(F.col("k"), F.col(b), F.col("s"), F.col(sb), F.col(side))
-    return cells.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), near("ek", "e", "edited_side").alias("near_edited"), near("nk", "x", "next_side").alias("near_next"))
+    cells = ready.select("*", sketch(F.col("k"), 8).alias("s"), sketch(F.col("ek"), 8).alias("e"))
+    near = lambda b, sb, side: likeness(F.col("k"), F.col(b), F.col("s"), sb, F.col(side))
+    return cells.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), near("ek", F.col("e"), "edited_side").alias("near_edited"), near("nk", sketch(F.col("nk"), 8), "next_side").alias("near_next"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
