@@ -149,7 +149,12 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Machine
         yield from batched(rows(), out, 500)
 
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("lid")).mapInArrow(run, "label int, id long, cells array<int>, weights array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    rows = [(np.array(c, np.int64), np.array(x)) for c, x in zip(got.column("cells").to_pylist(), got.column("weights").to_pylist())]
+    cells, weights = (got.column(n).combine_chunks() for n in ("cells", "weights"))
+    cells, weights = (c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in (cells, weights))
+    rows = []
+    if len(got):
+        ends, c, x = cells.offsets.to_numpy(), cells.values.to_numpy(), weights.values.to_numpy()
+        rows = [(c[a:z], x[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]  # views, no Python numbers
     return fit(rows, got.column("label").to_numpy().astype(float)) if rows else Machine(30.0, np.zeros(len(STATS) * BINS + WORDS, np.float32), np.zeros((len(STATS) * BINS + WORDS, RANK), np.float32))
 
 
