@@ -106,13 +106,15 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros((1 << SKETCH_BITS) // 64, np.uint64)
         for x in t.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(x), np.uint16)
-        return pa.table({"block": [t.column("block")[0].as_py()], "counts": [total.astype(np.uint64).tobytes()]}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+        # Steps of a quarter: neighbours in count need no order of their own, and a byte is enough.
+        step = np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1).astype(np.float64)))).astype(np.uint8)
+        return pa.table({"block": [t.column("block")[0].as_py()], "steps": [step.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("steps", pa.binary())]))
 
     both = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, block int, counts binary"), "shingle-sets")
     steps = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint8)
-    for r in both.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
-        # Steps of a quarter: neighbours in count need no order of their own, and a byte is enough.
-        steps[r.block] = np.minimum(255, np.round(4 * np.log2(np.maximum(np.frombuffer(r.counts, np.uint64), 1).astype(np.float64))))
+    # 64 rows of 64 KB whatever the corpus holds.
+    for r in both.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, steps binary").collect():
+        steps[r.block] = np.frombuffer(r.steps, np.uint8)
     steps = steps.ravel()
     return both, steps
 
