@@ -6,6 +6,7 @@ set; each document is scanned once, hash hits are verified word by word, and eve
 
 Bound of the broadcast: the benchmark is cut into blocks of at most `block_bytes` of text (an item is never cut), one
 broadcast and one pass per block, so an executor never holds more than one block's windows whatever the benchmark's size.
+With several blocks the rows are numbered and written first; the passes meet again by that number, so the result is the same.
 
 Defined results: null or word-less text has no words and no hits; repeated items or documents are each reported; an empty
 benchmark leaves everything clean; other columns of either table are ignored.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns
+from sparkloom.llm.common import batched, bounded_batches, columns, materialise
 
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -101,34 +102,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byte
     """Per document: doc_id, n_words, spans (array of word ranges hit), items (sorted ids of items that occur)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    kind = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    kind = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator()
-    parts = []
-    for block in blocks(((r.i, r.t) for r in rows), block_bytes):
-        held = spark.sparkContext.broadcast(block)
+    held = [spark.sparkContext.broadcast(block) for block in blocks(((r.i, r.t) for r in rows), block_bytes)]
+    if len(held) > 1:
+        source = materialise(source, "rows")  # so that every pass sees the same rows under the same numbers
 
-        def run(batches, held=held):
-            index = window_index(held.value, n)
+    def scanned(block):
+        def run(batches):
+            index = window_index(block.value if block else [], n)
 
             def out():
                 for b in batches:
-                    for d, t in zip(*columns(b, "doc_id", "text")):
+                    for r, d, t in zip(*columns(b, "row", "doc_id", "text")):
                         m, spans, items = scan(t, index)
-                        yield d, m, [{"first": a, "last": z} for a, z in spans], sorted(x for x in items if x is not None)
+                        yield r, d, m, [{"first": a, "last": z} for a, z in spans], sorted(x for x in items if x is not None)
 
             yield from batched(out(), schema)
 
-        parts.append(source.mapInArrow(run, kind))
-    if not parts:
-        parts = [source.mapInArrow(lambda it: batched(((d, len(words(t)), [], []) for b in it for d, t in zip(*columns(b, "doc_id", "text"))), schema), kind)]
-    if len(parts) == 1:
-        return parts[0]
-    tagged = parts[0]
-    for p in parts[1:]:
-        tagged = tagged.unionByName(p)
-    return tagged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return source.mapInArrow(run, kind)
+
+    if len(held) <= 1:
+        return scanned(held[0] if held else None).drop("row")
+    tagged = scanned(held[0])
+    for block in held[1:]:
+        tagged = tagged.unionByName(scanned(block).where((F.size("spans") > 0) | (F.size("items") > 0)))
+    per_row = tagged.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return per_row.select("doc_id", "n_words", merged(F.col("spans")).alias("spans"), "items")
+
+
+def merged(spans) -> F.Column:
+    """The union of `spans` as disjoint ranges in order; ranges that touch are one, as in scan()."""
+    start = F.slice(F.array_sort(spans), 1, 0)
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last.first.alias("first"), F.greatest(last.last, x.last).alias("last"))
+        return F.when((F.size(done) > 0) & (x.first <= last.last), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), start, add)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, **names) -> DataFrame:
