@@ -72,11 +72,16 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def row_key():
+    """Identity of a row: equal rows have equal ids (or none) and equal texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, set digest) of every document, and the sketch of shingle counts over all documents."""
+    """(rid, doc_id, n_shingles, set digest) of every document, and the sketch of shingle counts over all documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -84,10 +89,10 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         def rows():
             for b in batches:
                 held = []
-                for d, t in zip(*columns(b, "doc_id", "text")):
+                for rid, d, t in zip(*columns(b, "rid", "doc_id", "text")):
                     s = shingles(t, n)
                     held.append(s)
-                    yield d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, None, None
+                    yield rid, d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, None, None
                 if held:
                     cells, times = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
                     sketch[cells] += times.astype(np.uint32)
@@ -96,7 +101,7 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             part = sketch.reshape(64, -1)
             for i in range(64):
                 if part[i].any():
-                    yield None, None, None, i, zlib.compress(np.minimum(part[i], 65535).astype(np.uint16).tobytes(), 1)
+                    yield None, None, None, None, i, zlib.compress(np.minimum(part[i], 65535).astype(np.uint16).tobytes(), 1)
 
         yield from batched(rows(), schema, 2_000)
 
@@ -110,7 +115,7 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         step = np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1).astype(np.float64)))).astype(np.uint8)
         return pa.table({"block": [t.column("block")[0].as_py()], "steps": [step.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("steps", pa.binary())]))
 
-    both = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, block int, counts binary"), "shingle-sets")
+    both = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(row_key().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_shingles long, digest binary, block int, counts binary"), "shingle-sets")
     steps = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint8)
     # 64 rows of 64 KB whatever the corpus holds.
     for r in both.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, steps binary").collect():
@@ -342,24 +347,30 @@ def links_in(texts: DataFrame, percent: int, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def similar(docs: DataFrame, percent: int = 75, n: int = 5, block_size: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _grouped(docs: DataFrame, percent: int, n: int, block_size: int) -> DataFrame:
+    """rid, doc_id, n_shingles, root (class that stands for the group; null without shingles), component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both, steps = summaries(docs, n)
     sketch = spark.sparkContext.broadcast(steps)
-    every = both.where("block is null").select("doc_id", "n_shingles", _long_of("digest").alias("cls"))
-    classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")), "classes")
+    every = both.where("block is null").select("rid", "doc_id", "n_shingles", _long_of("digest").alias("cls"))
+    classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("size")), "classes")
     blocks = materialise(connected_components(chains(prefixes(docs, sketch, percent, n), percent)), "blocks")
-    members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes, "cls")
+    members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls")
     tasks = tasks_of(members, block_size)
     bounded_batches(spark)
-    texts = docs.join(tasks.withColumnRenamed("doc_id", "rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    # By the row's key: rows of one doc_id, or of none, may have several texts.
+    texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep").hint("shuffle_hash"), F.col("rid") == F.col("rep"))
     found = connected_components(links_in(texts, percent, n)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     rooted = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("cls", "component_id")
-    return every.join(labels, "cls", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = rooted.join(least, "root").select("cls", "root", "component_id")
+    return every.join(labels, "cls", "left").select("rid", "doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similar(docs: DataFrame, percent: int = 75, n: int = 5, block_size: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return _grouped(docs, percent, n, block_size).select("doc_id", "n_shingles", "component_id")
 
 
 def _long_of(digest: str):
@@ -369,9 +380,20 @@ def _long_of(digest: str):
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
-    """The documents (all columns) that stand for their group: the smallest doc_id of each component."""
-    found = similar(docs, percent, n).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One row (all columns) for each group: of its smallest doc_id (null only where no row has one), and of equal rows the least.
+
+    Rows without shingles are a group for each doc_id.
+    """
+    found = _grouped(docs, percent, n, BLOCK).groupBy("rid", "doc_id", "root").agg(F.count("*").alias("times"))
+    alone = F.when(F.col("root").isNull(), F.struct("doc_id"))
+    best = found.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "times")).alias("best"))
+    kept = materialise(best.select(F.col("best.rid").alias("_kept"), F.col("best.times").alias("_times")), "kept")
+    keyed = docs.withColumn("_rid", row_key())
+    chosen = lambda which: keyed.join(kept.where(which).hint("shuffle_hash"), F.col("_rid") == F.col("_kept"), "left_semi")
+    if not kept.where("_times > 1").limit(1).count():
+        return chosen("_times = 1").drop("_rid")
+    again = chosen("_times > 1").groupBy("_rid").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return chosen("_times = 1").drop("_rid").unionByName(again)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
