@@ -1,15 +1,17 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are parsed to DOM trees and aligned by simple tree matching (Yang 1991). Runs of like siblings collapse to
-one repeated node first, so trees stay small. The wrapper is the merged tree: a node whose text is the same on every aligned
-page is template, one whose text varies is a slot. Wrappers are folded inside each input partition, merged over (host, salt)
+one repeated node first, so trees stay small. The wrapper is the merged tree: a node whose text varies over the aligned pages is
+a slot; a node, or one of a run, whose text stands on every aligned page is template. Wrappers are folded inside each input partition, merged over (host, salt)
 and then over hosts, so every page counts and a host with a third of all pages is never gathered in one task.
 
-Extraction aligns each page with its host's wrapper (alignments are memoised by page skeleton). Blocks are kept in page order
-when they stand in the content region, are not in a part that its tag or its class marks as a menu, header, footer, sidebar,
-notice, advert, form, script, style or reader comment, and are not template. The region is the page's article or main
-elements, or without those the container in which the wrapper's slots hold most text. Constant text inside an article stays:
-pages of one host may repeat a sentence of their own.
+Extraction aligns every page with its host's wrapper (alignments are memoised by page skeleton). Blocks are kept in page order
+when they stand in the content region, are not template and are not in a part that its tag or its class marks as a menu, header,
+footer, sidebar, notice, advert, form, script, style or reader comment. The region is the container in which the wrapper's slots
+hold most text, or the article and main elements inside it; an article that is the region is kept whole, so with its heading.
+A host needs `ENOUGH` pages of different text, for its wrapper and for each template node; pages of other hosts, and pages
+on which nothing stands where the region does, are extracted from their article or main elements by tags and class words alone.
+Where all pages of a host share a paragraph of the article, it counts as template.
 
 Wrappers are broadcast only when their measured total is below `broadcast_bytes`; beyond it they are joined by host.
 
@@ -31,6 +33,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import batched, bounded_batches, columns, materialise
 
+#: Pages of different text that a host's wrapper and a template node need.
+ENOUGH = 3
+
 # HTML's elements by kind, and the words that mark parts which are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg noframes xmp".split())
@@ -116,7 +121,7 @@ def parse(text: str) -> Node:
                 if stack[i].tag in SCOPE[tag]:
                     break
         marks, drop = _marked(tag, m[3])
-        node = Node(tag, marks, drop)
+        node = Node(tag, marks + "!" if drop else marks, drop)
         stack[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
@@ -144,29 +149,40 @@ def words_of(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
-# Wrapper nodes are lists: [tag, marks, kids, pages, text hash or None where it varies, characters of varying text]
-TAG, MARKS, KIDS, PAGES, SAME, VARIES = range(6)
+# Wrapper nodes are lists: [tag, marks (ending in ! where dropped), kids, hashes of at most ENOUGH different pages, text hash or
+# None where it varies, characters of varying text, hashes of the texts (of a run: of each member) that all pages have]
+TAG, MARKS, KIDS, PAGES, SAME, VARIES, CONSTANT = range(7)
+
+
+def text_hash(text: str) -> int:
+    return zlib.crc32(text.encode())
 
 
-def skeleton(node: Node) -> list:
-    """The tree of block elements with runs of like siblings collapsed; SAME is a hash of the text of all of the run."""
-    text = words_of(node)
+def skeleton(node: Node, page: int | None = None, texts: bool = True) -> list:
+    """The tree of block elements with runs of like siblings collapsed; SAME is a hash of the text of all of the run.
+
+    page: hash of the page, by default of the node's text; without texts only the shape counts.
+    """
+    text = words_of(node) if texts else ""
+    own = text_hash(text)
+    page = own if page is None else page
     kids: list[list] = []
     for k in node.kids:
         if isinstance(k, str) or k.tag not in BLOCK and k.tag not in RAW:
             continue
-        s = skeleton(k)
+        s = skeleton(k, page, texts)
         if kids and kids[-1][TAG] == s[TAG] and kids[-1][MARKS] == s[MARKS] and s[TAG] not in ("article", "main"):
             _join(kids[-1], s)
         else:
             kids.append(s)
-    return [node.tag, node.marks, kids, 1, zlib.crc32(text.encode()), len(text)]
+    return [node.tag, node.marks, kids, [page], own, len(text), [own]]
 
 
 def _join(a: list, b: list) -> None:
     """Sibling b into the run a: one node, all text."""
     a[SAME] = zlib.crc32(b[SAME].to_bytes(4, "little"), a[SAME])
     a[VARIES] += b[VARIES]
+    a[CONSTANT] += b[CONSTANT]
     pairs, extra = match(a[KIDS], b[KIDS])
     for x, y in pairs:
         _join(a[KIDS][x], b[KIDS][y])
@@ -214,8 +230,9 @@ def match(x: list, y: list) -> tuple[list[tuple[int, int]], list[int]]:
 def merge(w: list, t: list) -> list:
     """Tree t aligned with the wrapper w and folded into it."""
     w[SAME] = w[SAME] if w[SAME] == t[SAME] else None
-    w[PAGES] += t[PAGES]
+    w[PAGES] = sorted({*w[PAGES], *t[PAGES]})[:ENOUGH]
     w[VARIES] += t[VARIES]
+    w[CONSTANT] = sorted(set(w[CONSTANT]).intersection(t[CONSTANT])) if w[CONSTANT] else []
     pairs, extra = match(w[KIDS], t[KIDS])
     for a, b in pairs:
         merge(w[KIDS][a], t[KIDS][b])
@@ -233,9 +250,11 @@ def align(w: list, page: list, out: dict, path: tuple = ()) -> dict:
 
 def region(w: list, path: tuple = ()) -> list:
     """The wrapper's container in which most of the varying text lies: descends while one child holds two thirds of it."""
-    kids = [k for k in w[KIDS] if k[TAG] not in DROP_TAGS and k[SAME] is None and k[TAG] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "dl")]
+    if w[TAG] in ("article", "main"):
+        return w
+    kids = [k for k in w[KIDS] if k[MARKS][-1:] != "!" and k[SAME] is None and k[TAG] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "dl")]
     best = max(kids, key=lambda k: k[VARIES], default=None)
-    whole = sum(k[VARIES] for k in w[KIDS] if k[TAG] not in DROP_TAGS)
+    whole = sum(k[VARIES] for k in w[KIDS] if k[MARKS][-1:] != "!" and k[SAME] is None)
     return region(best) if best and best[VARIES] * 3 >= whole * 2 else w
 
 
@@ -255,11 +274,10 @@ def extract(text: str | None, wrapper: list | None, memo: dict | None = None) ->
 
     find(root)
     template: set[int] = set()
-    tops = articles
-    if not tops:
-        tops = [root]
-        if wrapper is not None:
-            tops, template = _by_wrapper(root, wrapper, {} if memo is None else memo)
+    tops: list[Node] = []
+    if wrapper is not None and len(wrapper[PAGES]) >= ENOUGH:
+        tops, template = _by_wrapper(root, wrapper, {} if memo is None else memo)
+    tops = tops or articles or [root]
     blocks: list[str] = []
     held: list[str] = []
 
@@ -291,22 +309,23 @@ def extract(text: str | None, wrapper: list | None, memo: dict | None = None) ->
 
 
 def _by_wrapper(root: Node, wrapper: list, memo: dict) -> tuple[list[Node], set[int]]:
-    """For a page without an article element: the content container's node and the template nodes."""
-    s = skeleton(root)
+    """The nodes where the content region stands on the page (or the articles in it), and the template nodes."""
+    s = skeleton(root, 0, False)
     key = _shape(s)
-    if key not in memo:
+    if None not in memo or key not in memo:
         if len(memo) > 5_000:
             memo.clear()
+        memo[None] = region(wrapper)
         memo[key] = align(wrapper, s, {})
-    aligned = memo[key]
-    at = region(wrapper)
-    tops, template = [root], set()
+    aligned, at = memo[key], memo[None]
+    tops: list[Node] = []
+    template: set[int] = set()
 
     def walk(node: Node, path: tuple):
         w = aligned.get(path)
-        if w is at:
-            tops[:] = [node]
-        if w is not None and w[SAME] is not None and w[PAGES] >= 3 and at[SAME] is None:
+        if w is at and not node.drop:
+            tops.append(node)
+        if w is not None and w[CONSTANT] and len(w[PAGES]) >= ENOUGH and text_hash(words_of(node)) in w[CONSTANT]:
             template.add(id(node))
         i, before = -1, None
         for k in node.kids:
@@ -317,8 +336,13 @@ def _by_wrapper(root: Node, wrapper: list, memo: dict) -> tuple[list[Node], set[
             before = k
             walk(k, (*path, i))
 
+    def inside(node: Node) -> list[Node]:
+        if node.tag in ("article", "main"):
+            return [node]
+        return [x for k in node.kids if not isinstance(k, str) and not k.drop and id(k) not in template for x in inside(k)]
+
     walk(root, ())
-    return tops, template
+    return [x for top in tops for x in inside(top) or [top]], template
 
 
 def host_of(url: str | None) -> str:
@@ -409,8 +433,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
 
         yield from batched(out(), schema, 500)
 
-    # Same rule as host_of, on the JVM; where the two differ the page finds no wrapper and is extracted without one.
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    host = F.udf(host_of, "string", useArrow=True)("url")
     return source.withColumn("host", host).join(wrappers.hint("shuffle_hash"), "host", "left").mapInArrow(run_joined, kind)
 
 
