@@ -31,7 +31,7 @@ K1, B = 1.2, 0.75
 
 
 class Index:
-    """BM25 over the shard's documents, as postings sorted by term; terms of one document or of over a quarter are left out."""
+    """BM25 over the shard's documents, as postings sorted by term; terms of one document, which score no other, are left out."""
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
@@ -39,31 +39,39 @@ class Index:
         lens = np.array([len(t) for t, _ in each])
         terms, tf, doc = np.concatenate([t for t, _ in each]), np.concatenate([c for _, c in each]), np.repeat(np.arange(n), lens)
         df = np.bincount(terms)
-        keep = (df[terms] > 1) & (df[terms] <= max(2, n // 4))
+        keep = df[terms] > 1
         terms, tf, doc = terms[keep], tf[keep], doc[keep]
         size = np.array([len(d) for d in docs], np.float64)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         weight = (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))).astype(np.float32)
         ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
-        self.own = (terms, weight, ends)
+        self.own = (terms, ends)
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.at = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=len(df)))))
         self.n = n
 
-    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
-        """Scores of all documents for the seed's heaviest terms."""
-        terms, weight, ends = self.own
-        t, w = terms[ends[seed] : ends[seed + 1]], weight[ends[seed] : ends[seed + 1]]
-        if len(t) > query_terms:
-            t = t[np.argpartition(-w, query_terms)[:query_terms]]
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Scores of all documents for all of the seed's terms."""
+        terms, ends = self.own
+        t = terms[ends[seed] : ends[seed + 1]]
         scores = np.zeros(self.n, np.float32)
         for a, z in zip(self.at[t].tolist(), self.at[t + 1].tolist()):
             scores[self.docs[a:z]] += self.weights[a:z]
         return scores
 
 
-def order_of(docs: list[np.ndarray], window: int, query_terms: int = 24) -> Iterator[int]:
+def best_first(scores: np.ndarray) -> Iterator[int]:
+    """All documents that score, best first, then in reading order; sorted a few at a time."""
+    left, k = np.flatnonzero(scores > 0), 64
+    while len(left):
+        least = np.partition(scores[left], len(left) - k)[len(left) - k] if len(left) > k else 0
+        now = left[scores[left] >= least]
+        yield from now[np.lexsort((now, -scores[now]))].tolist()
+        left, k = left[scores[left] < least], k * 8
+
+
+def order_of(docs: list[np.ndarray], window: int) -> Iterator[int]:
     """The documents' order: seeds followed by the neighbours that fill their windows."""
     n = len(docs)
     index = Index(docs)
@@ -82,14 +90,10 @@ def order_of(docs: list[np.ndarray], window: int, query_terms: int = 24) -> Iter
             yield seed
             filled += len(docs[seed])
         room = window - filled % window
-        scores = index.neighbours(seed, query_terms)
+        scores = index.neighbours(seed)
         scores[used] = 0
-        best = np.flatnonzero(scores > 0)
-        if len(best) > 64:
-            best = best[np.argpartition(-scores[best], 64)[:64]]
-        best = best[np.lexsort((best, -scores[best]))]
         seed = None
-        for j in best.tolist():
+        for j in best_first(scores):
             used[j] = True
             yield j
             filled += len(docs[j])
