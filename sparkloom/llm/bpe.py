@@ -1,8 +1,9 @@
 """Byte-level BPE ids equal to the tokenizers library's, several times faster on running text.
 
 The same vocabulary's merge ranks are applied to the same pre-tokens by another library; a text that holds the string of a
-special token goes to the tokenizers library itself, which gives such strings their own ids by default. `tests/llm` holds
-this module against the library on ordinary, odd and random texts.
+special token goes to the tokenizers library itself, which gives such strings their own ids by default, and so does a text
+with a run of more than `RUN` characters of white space or of none, on which the faster library would run out of stack or
+take quadratic time. `tests/llm` holds this module against the library on ordinary, odd, random and very long texts.
 """
 
 from __future__ import annotations
@@ -11,19 +12,23 @@ import base64
 import hashlib
 import json
 import os
+import re
 
 import public_tokenizers
 
+#: Longest run of white space, or without any, that goes to the faster library.
+RUN = 10_000
+_LONG = re.compile(r"(?<!\s)\s{%d}|(?<!\S)\S{%d}" % (RUN + 1, RUN + 1))
+
 
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import tiktoken
-        from tokenizers import Tokenizer
 
         self.path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.library = Tokenizer.from_file(self.path)
+        self._library = None
         with open(self.path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
         ranks_path = self.path.removesuffix(".json") + ".tiktoken"
@@ -33,8 +38,17 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @property
+    def library(self):
+        """The tokenizers library, loaded by the first text that needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or len(text) > RUN and _LONG.search(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast(text)
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         held = tempfile.TemporaryDirectory(prefix="sparkloom-")
@@ -39,12 +43,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark's own switch: shuffle files of a finished write go at once, and not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out.scratch = path
     return out
@@ -56,14 +69,43 @@ def release(*tables: DataFrame) -> None:
         delete_path(t.sparkSession, t.scratch)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
-    """Arrow batches to Python workers hold at most so many rows and bytes; the workers find this package."""
+#: Rows and bytes of an Arrow batch to a Python worker, for every operator: plans are lazy, so the value has to be one.
+BATCH_ROWS, BATCH_BYTES = 2_000, "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers are bounded; the workers find this package and give memory back when it is free."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
     if root not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        env["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again and would keep what the largest task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def arrow(df: DataFrame, run: Callable, kind: str) -> DataFrame:
+    """df.mapInArrow(run, kind); a worker gives its memory back after each task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, kind)
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
@@ -86,34 +128,41 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Component of every node of `edges` (src long, dst long): columns node, component, the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each round is two hash aggregations; a node's
     neighbourhood is only ever reduced to its minimum, never gathered. Self loops are allowed; an empty table gives an
-    empty table. Tables between rounds are written to the shared folder.
+    empty table. Tables between rounds are written to the shared folder and deleted when the next one stands. Rounds grow
+    with the logarithm of the nodes squared at most; raises if the last round still changes something.
     """
     e = materialise(contract(edges.where("src is not null and dst is not null").select("src", "dst")).distinct(), "cc")
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    star, first = e, e
-    before = None
+    star, before = e, None
     for _ in range(max_rounds):
-        star = _small_star(_large_star(star))
-        star = materialise(star, "cc")
+        last, star = star, materialise(_small_star(_large_star(star)), "cc")
+        if last is not e:
+            release(last)
         n, s = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, s) == before:
             break
         before = (n, s)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     label = star.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+#: Nodes that contract() holds at a time.
+HELD = 300_000
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """The edges of each partition as stars u, v around the smallest node, self loops kept: as connected, with short paths.
 
-    A task holds the nodes of its own partition only.
+    A task holds at most about HELD nodes; then it hands on the stars that it has and begins anew.
     """
-    bounded_batches(edges.sparkSession, 20_000)
+    bounded_batches(edges.sparkSession)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -132,9 +181,12 @@ def contract(edges: DataFrame) -> DataFrame:
                 a, z = find(a), find(z)
                 if a != z:
                     root[max(a, z)] = min(a, z)
+            if len(root) > HELD:
+                yield from batched(((i, find(i)) for i in root), schema)
+                root.clear()
         yield from batched(((i, find(i)) for i in root), schema)
 
-    return edges.mapInArrow(run, "u long, v long")
+    return arrow(edges, run, "u long, v long")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

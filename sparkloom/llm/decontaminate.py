@@ -4,9 +4,10 @@ A word is a maximal run of ASCII letters and digits (A-Z folded) and non-ASCII c
 set of its windows of `n` words, or itself as one window when it is shorter. The windows go to the executors as a hash
 set; each document is scanned once, hash hits are verified word by word, and every word inside an occurrence is hit.
 
-Bound of the broadcast: the benchmark is cut into blocks of at most `block_bytes` of text (an item is never cut), one
-broadcast and one pass per block, so an executor never holds more than one block's windows whatever the benchmark's size.
-With several blocks the rows are numbered and written first; the passes meet again by that number, so the result is the same.
+Bound of the broadcast: the benchmark is cut into blocks of at most `BLOCK_WINDOWS` windows (a longer item is cut between
+windows), some 60 bytes each with their words; one block is broadcast at a time, scanned against and taken back, so no process
+holds more than one, whatever the benchmark's size. With several blocks the rows are numbered and written first; the passes
+meet again by that number, so the result is the same.
 
 Defined results: null or word-less text has no words and no hits; repeated items or documents are each reported; an empty
 benchmark leaves everything clean; other columns of either table are ignored.
@@ -15,6 +16,7 @@ benchmark leaves everything clean; other columns of either table are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,29 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns, materialise
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, materialise, release
 
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Windows in one broadcast.
+BLOCK_WINDOWS = 400_000
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def window_index(items: list[tuple[object, str | None]], n: int) -> tuple[dict, dict]:
-    """(vocabulary: word -> id from 1, {window length: (sorted hashes, {hash: {window: [item, ...]}})})."""
-    vocab: dict[bytes, int] = {}
-    by_len: dict[int, dict] = {}
-    for item, text in items:
-        w = [vocab.setdefault(x, len(vocab) + 1) for x in words(text)]
-        if not w:
-            continue
-        k = min(n, len(w))
-        a = np.array(w, np.uint64)
-        for i, h in enumerate(_hashes(a, k).tolist()):
-            by_len.setdefault(k, {}).setdefault(h, {}).setdefault(tuple(w[i : i + k]), set()).add(item)
-    return vocab, {k: (np.array(sorted(d), np.uint64), d) for k, d in by_len.items()}
+class Index:
+    """Windows of one block of items: hashes in order, with the word ids and the item of each window beside them."""
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], n: int):
+        self.vocab: dict[bytes, int] = {}
+        self.names = [item for item, _ in items]
+        by_len: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for at, (_, w) in enumerate(items):
+            if not w:
+                continue
+            ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint32)
+            k = min(n, len(ids))
+            windows = np.lib.stride_tricks.sliding_window_view(ids, k)
+            by_len.setdefault(k, []).append((_hashes(ids, k), windows, np.full(len(windows), at, np.int32)))
+        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, parts in by_len.items():
+            hashes, windows, owners = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            self.by_len[k] = hashes[order], windows[order], owners[order]
 
 
 def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -55,14 +65,13 @@ def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def scan(text: str | None, index: tuple[dict, dict]) -> tuple[int, list[tuple[int, int]], set]:
-    """(number of words, word spans hit (from, to), items that occur)."""
-    vocab, by_len = index
+def scan(text: str | None, index: Index) -> tuple[int, list[tuple[int, int]], set]:
+    """(number of words, word spans hit (from, to), items that occur). Every hit of a hash is verified word by word."""
     w = words(text)
-    get = vocab.get
-    ids = np.array([get(x, 0) for x in w], np.uint64)
+    get = index.vocab.get
+    ids = np.array([get(x, 0) for x in w], np.uint32)
     spans, items = [], set()
-    for k, (known, table) in by_len.items():
+    for k, (known, windows, owners) in index.by_len.items():
         if len(ids) < k:
             continue
         miss = np.concatenate(([0], np.cumsum(ids == 0)))
@@ -70,12 +79,12 @@ def scan(text: str | None, index: tuple[dict, dict]) -> tuple[int, list[tuple[in
         if not len(full):
             continue
         h = _hashes(ids, k)[full]
-        at = np.searchsorted(known, h)
-        at[at == len(known)] = 0
-        for i, x in zip(full[ok := known[at] == h].tolist(), h[ok].tolist()):
-            if found := table[x].get(tuple(ids[i : i + k].tolist())):
+        low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        for x in np.flatnonzero(high > low).tolist():
+            i, a, z = int(full[x]), int(low[x]), int(high[x])
+            if (same := (windows[a:z] == ids[i : i + k]).all(1)).any():
                 spans.append((i, i + k))
-                items |= found
+                items.update(index.names[o] for o in owners[a:z][same].tolist())
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -85,34 +94,43 @@ def scan(text: str | None, index: tuple[dict, dict]) -> tuple[int, list[tuple[in
     return len(w), merged, items
 
 
-def blocks(items: Iterator, block_bytes: int) -> Iterator[list]:
-    held, size = [], 0
+def blocks(items: Iterator, n: int, size: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items in blocks of at most `size` windows; a longer item is cut so that each of its windows lies in one part."""
+    held, many = [], 0
     for item, text in items:
-        more = len((text or "").encode())
-        if held and size + more > block_bytes:
-            yield held
-            held, size = [], 0
-        held.append((item, text))
-        size += more
+        w = words(text)
+        total = max(len(w) - n + 1, min(1, len(w)))
+        for at in range(0, total, size):
+            part = w[at : at + size + n - 1] if total > size else w
+            more = min(size, total - at)
+            if held and many + more > size:
+                yield held
+                held, many = [], 0
+            held.append((item, part))
+            many += more
     if held:
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _broadcasts(benchmark: DataFrame, n: int, size: int, item_id: str, item_text: str):
+    """One block's index after another, on the executors while the caller's pass runs."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator()
+    for block in blocks(((r.i, r.t) for r in rows), n, size):
+        yield spark.sparkContext.broadcast(Index(block, n))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, spans (array of word ranges hit), items (sorted ids of items that occur)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
     kind = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator()
-    held = [spark.sparkContext.broadcast(block) for block in blocks(((r.i, r.t) for r in rows), block_bytes)]
-    if len(held) > 1:
-        source = materialise(source, "rows")  # so that every pass sees the same rows under the same numbers
 
     def scanned(block):
         def run(batches):
-            index = window_index(block.value if block else [], n)
+            index = block.value if block else Index([], n)
 
             def out():
                 for b in batches:
@@ -122,13 +140,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byte
 
             yield from batched(out(), schema)
 
-        return source.mapInArrow(run, kind)
-
-    if len(held) <= 1:
-        return scanned(held[0] if held else None).drop("row")
-    tagged = scanned(held[0])
-    for block in held[1:]:
-        tagged = tagged.unionByName(scanned(block).where((F.size("spans") > 0) | (F.size("items") > 0)))
+        return arrow(source, run, kind)
+
+    each = _broadcasts(benchmark, n, block_windows, item_id, item_text)
+    first, second = next(each, None), next(each, None)
+    if second is None:
+        return scanned(first).drop("row")
+    source = materialise(source, "rows")  # so that every pass sees the same rows under the same numbers
+    tagged = materialise(scanned(first), "hits")
+    for block in itertools.chain([second], each):
+        tagged = tagged.unionByName(materialise(scanned(block).where((F.size("spans") > 0) | (F.size("items") > 0)), "hits"))
+        block.unpersist()
+    first.unpersist()
+    release(source)
     per_row = tagged.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return per_row.select("doc_id", "n_words", merged(F.col("spans")).alias("spans"), "items")
 
@@ -145,12 +169,39 @@ def merged(spans) -> F.Column:
     return F.aggregate(F.array_sort(spans), start, add)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, **names) -> DataFrame:
-    """The documents without those that contain a benchmark window (rows, columns and nulls otherwise as they came)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    found = contamination(docs, benchmark, n, **names).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_hit"), docs[names.get("doc_id", "doc_id")] == F.col("_hit"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without those that contain a benchmark window (rows, columns and nulls otherwise as they came).
+
+    Each row is judged where it is read, without a shuffle; with several blocks, what one pass keeps goes to the next.
+    """
+    bounded_batches(docs.sparkSession)
+    kept = docs
+    each = _broadcasts(benchmark, n, block_windows, item_id, item_text)
+    first, second = next(each, None), next(each, None)
+    for block in itertools.chain([first, second], each):
+        if block is None:
+            continue
+        last, kept = kept, _clean(kept, block, text)
+        if second is not None:
+            kept = materialise(kept, "clean")
+            block.unpersist()
+            if last is not docs:
+                release(last)
+    return kept
+
+
+def _clean(docs: DataFrame, block, text: str) -> DataFrame:
+    names = docs.columns
+    flagged = docs.select("*", F.col(text).cast("string").alias("_judged"))
+
+    def run(batches):
+        index = block.value
+        for b in batches:
+            (texts,) = columns(b, "_judged")
+            clean = pa.array([not scan(t, index)[1] for t in texts], pa.bool_())
+            yield b.select(names).filter(clean)
+
+    return arrow(flagged, run, docs.schema)
 
 
 def merged_length(spans) -> F.Column:

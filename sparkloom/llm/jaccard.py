@@ -12,8 +12,9 @@ in that order, and neither is smaller than three quarters of the other.
    share long beginnings). A set walks the trie depth first, sharing partial overlaps, and leaves a subtree when even a full
    match of the remaining lengths could not reach the bound. Subtrees whose members all are in the walker's component already
    are passed over, so a block of thousands of near copies is not expanded into pairs.
-3. Blocks over `BLOCK` classes are cut by size class (base 4/3; a link never spans more than two neighbours) and then into
-   pieces by hash; every pair of pieces is a task, so no task holds more than two pieces whatever a block's size.
+3. Blocks over `BLOCK` classes or `WEIGHT` shingles are cut by size class (base 4/3; a link never spans more than two
+   neighbours) and then into pieces by hash; every pair of pieces is a task, so no task holds more than two pieces, by classes
+   and by shingles, whatever a block's size.
 4. Links (a spanning subset in each task) give components, which go back to classes and documents.
 
 Defined results: null, empty and word-less texts have an empty set, no links and their own id as component; texts of fewer
@@ -31,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns, connected_components, materialise
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, connected_components, materialise, release
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Cells of the sketch that orders shingles, and classes in one task's piece of a block.
-SKETCH_BITS, BLOCK = 22, 4_000
+#: Cells of the sketch that orders shingles; classes and shingles in one task's piece of a block.
+SKETCH_BITS, BLOCK, WEIGHT = 22, 4_000, 1_000_000
+#: Digests of sets that a task remembers having sent; others are sent again, which changes nothing.
+SENT = 100_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -115,7 +118,8 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         step = np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1).astype(np.float64)))).astype(np.uint8)
         return pa.table({"block": [t.column("block")[0].as_py()], "steps": [step.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("steps", pa.binary())]))
 
-    both = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(row_key().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_shingles long, digest binary, block int, counts binary"), "shingle-sets")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(row_key().alias("rid"), "doc_id", "text")
+    both = materialise(arrow(source, run, "rid long, doc_id long, n_shingles long, digest binary, block int, counts binary"), "shingle-sets")
     steps = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint8)
     # 64 rows of 64 KB whatever the corpus holds.
     for r in both.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, steps binary").collect():
@@ -146,7 +150,7 @@ def prefixes(docs: DataFrame, sketch, percent: int, n: int) -> DataFrame:
                 s = shingles(t, n)
                 if not len(s) or (c := class_id(s)) in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SENT:
                     seen.add(c)
                 k = prefix_length(len(s), percent)
                 tokens.append(ordered(s, sketch.value)[:k].view(np.int64))
@@ -158,7 +162,7 @@ def prefixes(docs: DataFrame, sketch, percent: int, n: int) -> DataFrame:
                 for at in range(0, len(t), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (t, z, i, f)], schema=schema)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, size int, cls long, indexed boolean")
+    return arrow(docs.select(F.col("text").cast("string").alias("text")), run, "token long, size int, cls long, indexed boolean")
 
 
 def class_id(s: np.ndarray) -> int:
@@ -189,7 +193,7 @@ def chains(rows: DataFrame, percent: int) -> DataFrame:
             if (k := int(at.max())) >= 0:
                 last = (t[k], z[k], c[k])
 
-    return rows.mapInArrow(run, "src long, dst long")
+    return arrow(rows, run, "src long, dst long")
 
 
 class _Node:
@@ -301,15 +305,16 @@ def join_block(sets: list[np.ndarray], percent: int, left: int | None = None) ->
     return links
 
 
-def tasks_of(members: DataFrame, block_size: int) -> DataFrame:
+def tasks_of(members: DataFrame, block_size: int, weight: int) -> DataFrame:
     """doc_id, cls, task, side (null, 0 or 1) for the members (doc_id, cls, size, block) of the blocks."""
-    counts = members.groupBy("block").agg(F.count("*").alias("n"))
+    pieces_of = F.greatest(F.ceil(F.count("*") / block_size), F.ceil(F.sum("size") / weight)).cast("int")
+    counts = members.groupBy("block").agg(pieces_of.alias("n"))
     sized = members.join(counts, "block")
-    small = sized.where(F.col("n") <= block_size).select("doc_id", "cls", F.concat_ws("/", "block").alias("task"), F.lit(None).cast("int").alias("side"))
+    small = sized.where(F.col("n") <= 1).select("doc_id", "cls", F.concat_ws("/", "block").alias("task"), F.lit(None).cast("int").alias("side"))
     step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4.0 / 3.0)) + 1e-9).cast("int")
     # A little slack at the edges of size classes: a member goes to its class's group and the next one.
-    large = sized.where(F.col("n") > block_size).withColumn("group", F.explode(F.array(step, step + 1)))
-    pieces = large.groupBy("block", "group").agg(F.ceil(F.count("*") / block_size).cast("int").alias("pieces"))
+    large = sized.where(F.col("n") > 1).withColumn("group", F.explode(F.array(step, step + 1)))
+    pieces = large.groupBy("block", "group").agg(pieces_of.alias("pieces"))
     large = large.join(pieces, ["block", "group"]).withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     large = large.withColumn("other", other).select("doc_id", "cls", F.concat_ws("/", "block", "group", F.least("piece", "other"), F.greatest("piece", "other")).alias("task"), F.when(F.col("piece") == F.col("other"), F.lit(None)).otherwise((F.col("piece") > F.col("other")).cast("int")).cast("int").alias("side"))
@@ -344,10 +349,10 @@ def links_in(texts: DataFrame, percent: int, n: int) -> DataFrame:
 
         yield from batched(rows(), schema)
 
-    return dealt.mapInArrow(run, "src long, dst long")
+    return arrow(dealt, run, "src long, dst long")
 
 
-def _grouped(docs: DataFrame, percent: int, n: int, block_size: int) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, n: int, block_size: int, weight: int = WEIGHT) -> DataFrame:
     """rid, doc_id, n_shingles, root (class that stands for the group; null without shingles), component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -357,20 +362,21 @@ def _grouped(docs: DataFrame, percent: int, n: int, block_size: int) -> DataFram
     classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("size")), "classes")
     blocks = materialise(connected_components(chains(prefixes(docs, sketch, percent, n), percent)), "blocks")
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls")
-    tasks = tasks_of(members, block_size)
-    bounded_batches(spark)
+    tasks = materialise(tasks_of(members, block_size, weight), "tasks")
     # By the row's key: rows of one doc_id, or of none, may have several texts.
-    texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep").hint("shuffle_hash"), F.col("rid") == F.col("rep"))
+    texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep"), F.col("rid") == F.col("rep"))
     found = connected_components(links_in(texts, percent, n)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    release(tasks, blocks)
+    sketch.unpersist()
     rooted = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = rooted.join(least, "root").select("cls", "root", "component_id")
     return every.join(labels, "cls", "left").select("rid", "doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def similar(docs: DataFrame, percent: int = 75, n: int = 5, block_size: int = BLOCK) -> DataFrame:
+def similar(docs: DataFrame, percent: int = 75, n: int = 5, block_size: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    return _grouped(docs, percent, n, block_size).select("doc_id", "n_shingles", "component_id")
+    return _grouped(docs, percent, n, block_size, weight).select("doc_id", "n_shingles", "component_id")
 
 
 def _long_of(digest: str):
@@ -389,7 +395,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     best = found.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "times")).alias("best"))
     kept = materialise(best.select(F.col("best.rid").alias("_kept"), F.col("best.times").alias("_times")), "kept")
     keyed = docs.withColumn("_rid", row_key())
-    chosen = lambda which: keyed.join(kept.where(which).hint("shuffle_hash"), F.col("_rid") == F.col("_kept"), "left_semi")
+    chosen = lambda which: keyed.join(kept.where(which), F.col("_rid") == F.col("_kept"), "left_semi")
     if not kept.where("_times > 1").limit(1).count():
         return chosen("_times = 1").drop("_rid")
     again = chosen("_times > 1").groupBy("_rid").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")

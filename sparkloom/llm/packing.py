@@ -10,8 +10,9 @@ need no padding.
 One pass without a shuffle: no key decides where a document goes, so no source or group of copies can fill a task, and a lost
 task is packed again from the same split into the same sequences. Memory is bounded by the shard (or one longer document).
 
-Defined results: null counts as empty; an empty text is one piece of the closing id; repeated rows are packed each; an empty
-table gives no rows; other columns are ignored.
+Defined results: null counts as empty; an empty text is one piece of the closing id; texts of any length and with runs of any
+length are encoded whole; repeated rows are packed each, and a null doc_id stays null; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
-from sparkloom.llm.common import batched, bounded_batches, columns
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns
 
 K1, B = 1.2, 0.75
 
@@ -155,7 +156,7 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 1_500_000, clo
 
         yield from batched(rows(), schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

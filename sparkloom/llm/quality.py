@@ -12,7 +12,7 @@ The machine is fitted on the driver on a bounded sample of labelled rows (`SAMPL
 features and not texts; its size is fixed, so it is broadcast. Scoring is one pass without a shuffle over whole texts.
 
 Defined results: null and empty texts have only their length's feature and still get a score; with no labelled rows of both
-classes every score is the share of label 1 (1 without any); repeated rows are each scored; other columns are ignored.
+classes every score is the share of label 1 (0.5 without any); repeated rows are each scored; other columns are ignored.
 lang, source and doc_id are not inputs of a score.
 """
 
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns
 
 WORDS, BINS, RANK = 1 << 14, 16, 6
 #: Labelled rows that the machine is fitted on, at most about.
 SAMPLE = 8_000
+#: Words whose cells a worker remembers.
+MEMO = 50_000
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LETTERS = _UPPER + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -69,7 +71,7 @@ def featurise(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, np.nd
     counts = Counter(words)
     stats = [k * BINS + min(BINS - 1, max(0, int(v * BINS))) for k, v in enumerate(statistics(text, words, counts))]
     base = len(STATS) * BINS
-    if len(memo) > 300_000:
+    if len(memo) > MEMO:
         memo.clear()
     cells = []
     for w in counts:
@@ -127,13 +129,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     return Machine(w0, w.astype(np.float32), v.astype(np.float32))
 
 
+def untrained() -> Machine:
+    """Every score is 0.5."""
+    size = len(STATS) * BINS + WORDS
+    return Machine(0.0, np.zeros(size, np.float32), np.zeros((size, RANK), np.float32))
+
+
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Machine:
     """docs: doc_id, text; labelled: doc_id, quality (only these labels are learnt)."""
     bounded_batches(docs.sparkSession)
     labels = labelled.where("quality is not null").groupBy(F.col("doc_id").alias("lid")).agg(F.max("quality").alias("label"))
     n = labels.count()
     if not n:
-        return Machine(30.0, np.zeros(len(STATS) * BINS + WORDS, np.float32), np.zeros((len(STATS) * BINS + WORDS, RANK), np.float32))
+        return untrained()
     few = labels if n <= sample else labels.where(F.pmod(F.xxhash64("lid"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
     out = pa.schema([("label", pa.int32()), ("id", pa.int64()), ("cells", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
 
@@ -148,14 +156,15 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Machine
 
         yield from batched(rows(), out, 500)
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("lid")).mapInArrow(run, "label int, id long, cells array<int>, weights array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("lid"))
+    got = arrow(chosen, run, "label int, id long, cells array<int>, weights array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     cells, weights = (got.column(n).combine_chunks() for n in ("cells", "weights"))
     cells, weights = (c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in (cells, weights))
     rows = []
     if len(got):
         ends, c, x = cells.offsets.to_numpy(), cells.values.to_numpy(), weights.values.to_numpy()
         rows = [(c[a:z], x[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]  # views, no Python numbers
-    return fit(rows, got.column("label").to_numpy().astype(float)) if rows else Machine(30.0, np.zeros(len(STATS) * BINS + WORDS, np.float32), np.zeros((len(STATS) * BINS + WORDS, RANK), np.float32))
+    return fit(rows, got.column("label").to_numpy().astype(float)) if rows else untrained()
 
 
 def quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -173,7 +182,7 @@ def quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, sample
             ids, texts = columns(b, "_id", "_text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([m.score(t, memo) for t in texts], pa.float64()), *(b.column(2 + i) for i in range(len(names)))], names=["_id", "score", *names])
 
-    scored = source.mapInArrow(run, kind)
+    scored = arrow(source, run, kind)
     return scored.select(*([] if "doc_id" in names else [F.col("_id").alias("doc_id")]), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *names)
 
 

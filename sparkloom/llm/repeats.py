@@ -23,7 +23,7 @@ removed; an empty table gives no rows; other columns are ignored or kept as they
 
 from __future__ import annotations
 
-import gc
+import functools
 import hashlib
 from bisect import bisect_left, insort
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns, materialise
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, materialise, release
 
 #: Classes of one key that one task sorts.
 GROUP = 20_000
@@ -43,12 +43,15 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (_BASE, inverse)]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, 1 << 16)
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        up, down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (_BASE, inverse))
+    if size <= 1 << 18:  # a worker keeps those of ordinary texts only
+        _powers[:] = [up, down]
+    return up, down
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -182,19 +185,16 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _settle(spark: SparkSession) -> None:
-    """Let the session drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:
-    """Occurrences of maximal repeats: rid (see row_key), start, last (exclusive). docs: rid, text."""
+    """Occurrences of maximal repeats: rid (see row_key), start, last (exclusive). docs: rid, text.
+
+    Every table is deleted as soon as its last reader has been written; texts are shuffled once here, to the places whose
+    contexts are wanted.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     before = length - k
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    fields = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("start", pa.int64()), ("last", pa.int64())])
+    fields = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32())])
 
     def find(batches):
         for b in batches:
@@ -205,47 +205,61 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
                 if len(at):
                     first, last = np.maximum(at - before, 0), np.minimum(at + length, len(raw))
                     ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z], p - a) for a, z, p in zip(first.tolist(), last.tolist(), at.tolist())), np.uint64, len(at))
-                    held.append((h.view(np.int64), ctx.view(np.int64), np.full(len(at), rid, np.int64), at, first, last))
+                    held.append((h.view(np.int64), ctx.view(np.int64), np.full(len(at), rid, np.int64), at.astype(np.int32), (last - at).astype(np.int32)))
             if held:
                 arrays = [np.concatenate(x) for x in zip(*held)]
                 for i in range(0, len(arrays[0]), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in arrays], schema=fields)
 
-    found = materialise(docs.mapInArrow(find, "key long, ctx long, rid long, pos long, start long, last long"), "anchors")
-    rep = F.min(F.struct("rid", "pos")).alias("rep")
-    classes = found.groupBy("key", "ctx").agg(F.count("*").alias("n"), rep)
-    per_key = found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    classes = materialise(classes.join(per_key.hint("shuffle_hash"), "key", "left_semi"), "classes")
-    _settle(spark)
-    whole = found.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("rid", "start", "last")
-    many = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = classes.join(many, "key").select(F.col("rep.rid").alias("wid"), F.struct("key", "rep.pos", "m").alias("at")).groupBy("wid").agg(F.collect_list("at").alias("at"))
-    texts = docs
-    contexts_schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
-
-    def contexts(batches):
-        done: set[int] = set()
+    found = materialise(arrow(docs, find, "key long, ctx long, rid long, pos int, ahead int"), "anchors")
+    # Keys of one row are most of them and end here. Both sides of every join below are written tables, whose large partitions
+    # Spark can split.
+    keys = materialise(found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
+    met = materialise(found.join(keys, "key", "left_semi"), "met")
+    release(found, keys)
+    classes = materialise(met.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "classes")
+    many = materialise(classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "many")
+    copied = met.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
+    whole = materialise(copied.select("rid", (F.col("pos") - F.least("pos", F.lit(before))).cast("long").alias("start"), (F.col("pos") + F.col("ahead")).cast("long").alias("last")).distinct(), "whole")
+    release(met)
+    wanted = materialise(classes.join(many, "key").select(F.col("rep.rid").alias("wid"), "key", "rep.pos", "m"), "wanted")
+    release(classes)
+    partial = materialise(_scanned(_contexts(docs, wanted.where(F.col("m") <= group), length, before), length), "partial")
+    out = [whole, partial]
+    if many.where(F.col("m") > group).limit(1).count():
+        out.append(materialise(_by_windows(_contexts(docs, wanted.where(F.col("m") > group), length, before), length), "by-windows"))
+    release(many, wanted)
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> DataFrame:
+    """key, rid, pos, before (reversed), after of the wanted places (wid, key, pos)."""
+    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 
+    def run(batches):
         def rows():
+            last = None
             for b in batches:
                 for rid, t, at in zip(*columns(b, "rid", "text", "at")):
-                    if rid in done:  # a repeated row: its copy stands for it
+                    if rid == last:  # a repeated row: its copy stands for it
                         continue
-                    if len(done) < 1_000_000:
-                        done.add(rid)
-                    raw = t.encode()
+                    last, raw = rid, t.encode()
                     for x in at:
                         p = x["pos"]
-                        yield x["key"], x["m"], rid, p, raw[max(0, p - before) : p][::-1], raw[p : p + length]
+                        yield x["key"], rid, p, raw[max(0, p - before) : p][::-1], raw[p : p + length]
+
+        yield from batched(rows(), schema, 2_000)
 
-        yield from batched(rows(), contexts_schema, 5_000)
+    at = wanted.groupBy("wid").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
+    return arrow(docs.join(at, F.col("rid") == F.col("wid")).select("rid", "text", "at"), run, "key long, rid long, pos long, before binary, after binary")
 
-    told = texts.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("wid")).select("rid", "text", "at").mapInArrow(contexts, "key long, m long, rid long, pos long, before binary, after binary")
-    told = materialise(told, "contexts")
-    _settle(spark)
+
+def _scanned(told: DataFrame, length: int) -> DataFrame:
+    """rid, start, last by the interval trees of the contexts of each key."""
+    parts = max(1, int(told.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     spans = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("last", pa.int64())])
 
-    def scan(batches):
+    def run(batches):
         def rows():
             key, held = None, []
 
@@ -259,14 +273,13 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
                     if row[0] != key:
                         yield from solve()
                         key, held = row[0], []
-                    held.append(row)
+                    if not held or held[-1][1:3] != row[1:3]:
+                        held.append(row)
             yield from solve()
 
         yield from batched(rows(), spans)
 
-    bounded_batches(spark, 5_000)
-    partial = told.where(F.col("m") <= group).select("key", "rid", "pos", "before", "after").repartition(parts, "key").sortWithinPartitions("key", "rid", "pos").mapInArrow(scan, "rid long, start long, last long")
-    return whole.unionByName(partial).unionByName(_by_windows(told.where(F.col("m") > group), length))
+    return arrow(told.repartition(parts, "key").sortWithinPartitions("key", "rid", "pos"), run, "rid long, start long, last long")
 
 
 def _by_windows(told: DataFrame, length: int) -> DataFrame:
@@ -283,7 +296,7 @@ def _by_windows(told: DataFrame, length: int) -> DataFrame:
 
         yield from batched(rows(), schema)
 
-    windows = told.select("key", "rid", "pos", "before", "after").mapInArrow(run, "key long, back long, hash long, rid long, pos long")
+    windows = arrow(told, run, "key long, back long, hash long, rid long, pos long")
     again = windows.groupBy("key", "back", "hash").agg(F.count("*").alias("n")).where("n > 1")
     return windows.join(again, ["key", "back", "hash"], "left_semi").groupBy("rid", "pos").agg(F.max("back").alias("most"), F.min("back").alias("least")).select("rid", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("last"))
 
@@ -293,7 +306,7 @@ def with_spans(docs: DataFrame, length: int, k: int, group: int) -> DataFrame:
     keyed = docs.withColumn("rid", row_key())
     found = repeats(keyed.select("rid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), length, k, group)
     per = found.groupBy(F.col("rid").alias("sid")).agg(F.collect_set(F.struct("start", "last")).alias("spans"))
-    return keyed.join(per.hint("shuffle_hash"), F.col("rid") == F.col("sid"), "left").drop("sid")
+    return keyed.join(per, F.col("rid") == F.col("sid"), "left").drop("sid")
 
 
 def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:
@@ -312,7 +325,7 @@ def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
         yield from batched(rows(), schema)
 
     source = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, k, group)
-    return source.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow(source.select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:

@@ -5,12 +5,13 @@ change could change the count) with the digest of the tokenizer's file. Keys are
 tokenizer version; of the distinct keys that miss, one document each is encoded, and the new counts are appended to the
 cache (a Parquet folder partitioned by tokenizer version, so versions never mix and a scan prunes to one).
 
-Shuffles: keys with the document's id (small rows, combined on the map side), then one pass of the texts to their
-representatives by id; hot content collapses to one row before anything is encoded. A task that is lost re-encodes only its
+Shuffles: keys with a row key (small rows, combined on the map side), then one pass of the texts to their representatives
+by that key; hot content collapses to one row before anything is encoded. A task that is lost re-encodes only its
 own misses; an append that is repeated adds equal rows, which reading collapses.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated texts and rows share one entry; an empty table
-gives no rows; other columns are ignored.
+Defined results: null text counts as empty (0 bytes, 0 tokens); repeated texts and rows share one entry and are each
+reported, rows without doc_id too; texts of any length and with runs of any length are encoded whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
-from sparkloom.llm.common import batched, bounded_batches, columns, delete_path, materialise, scratch_path  # noqa: F401
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, scratch_path
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(t, 256)).alias("digest"), F.octet_length(t).cast("long").alias("n_bytes"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(t, 256)).alias("digest"), F.octet_length(t).cast("long").alias("n_bytes")).withColumn("row", row_key("doc_id"))
+
+
+def row_key(doc_id: str):
+    """Identity of a row by its id, if any, and its text's digest."""
+    return F.xxhash64(F.col(doc_id).cast("string"), "digest")
 
 
 def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -47,10 +53,10 @@ def encode_misses(docs: DataFrame, reps: DataFrame, tokenizer: str | None, doc_i
         enc = bpe.encoder(tokenizer)
         yield from batched(((d, len(enc.ids(t)) if t else 0) for b in batches for d, t in zip(*columns(b, "digest", "t"))), schema)
 
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("t"))
-    # The small side is the one that is built; the texts stream past it.
-    joined = texts.join(reps.hint("shuffle_hash"), "rep").where(F.col("digest") == F.unhex(F.sha2(F.coalesce("t", F.lit("")), 256)))
-    return joined.select("digest", "t").mapInArrow(run, "digest binary, n_tokens long")
+    t = F.col(text).cast("string")
+    keys = docs.select(F.col(doc_id).alias("_d"), t.alias("t"), F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256)).alias("digest"))
+    joined = keys.select("t", "digest", row_key("_d").alias("rep")).join(reps.select("rep"), "rep")
+    return arrow(joined.select("digest", "t"), run, "digest binary, n_tokens long")
 
 
 def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,7 +64,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, doc_
     spark = docs.sparkSession
     version = bpe.version(tokenizer)
     keys = keyed(docs, doc_id, text)
-    reps = keys.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = keys.groupBy("digest").agg(F.min("row").alias("rep"))
     misses = reps.join(stored(spark, cache, version), "digest", "left_anti").select("rep", "digest")
     encode_misses(docs, misses, tokenizer, doc_id, text).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     return keys.join(stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")

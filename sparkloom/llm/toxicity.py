@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns
 
 CTX, LOW, X = 17, 15, 5
 DISCOUNT, LOW_DISCOUNT = 0.75, 0.75
@@ -120,7 +120,7 @@ def gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 c = cells[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), low)), pa.array(c), *(pa.array(v.astype(np.int64)) for v in cols(c))], schema=schema)
 
-    found = rows.mapInArrow(run, "low boolean, cell long, toxic long, ordinary long, mask long").groupBy("low", "cell").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("mask").alias("mask")).toArrow()
+    found = arrow(rows, run, "low boolean, cell long, toxic long, ordinary long, mask long").groupBy("low", "cell").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("mask").alias("mask")).toArrow()
     low, cell = found.column("low").to_numpy(), found.column("cell").to_numpy()
     toxic, ordinary = np.zeros(1 << (CTX + X), np.int64), np.zeros(1 << (CTX + X), np.int64)
     masks = np.zeros(1 << (LOW + X), np.int64)
@@ -171,7 +171,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3) -> Da
         m = model.value
         yield from batched(((int(y), m.features(t, 0 if y else 1)) for b in batches for t, y in zip(*columns(b, "text", "label"))), out)
 
-    got = few.mapInArrow(learn, "label int, x array<double>").toArrow()
+    got = arrow(few, learn, "label int, x array<double>").toArrow()
     x, y = np.array(got.column("x").to_pylist()), got.column("label").to_numpy().astype(float)
     scale = np.maximum(x.std(0), 1e-6)
     w = logistic((x - x.mean(0)) / scale, y)
@@ -187,7 +187,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3) -> Da
 
         yield from batched(((d, one(t)) for b in batches for d, t in zip(*columns(b, "doc_id", "text"))), schema)
 
-    scored = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    scored = arrow(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

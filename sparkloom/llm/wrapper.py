@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns, materialise
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, materialise
 
 #: Pages of different text that a host's wrapper and a template node need.
 ENOUGH = 3
@@ -355,7 +355,7 @@ def host_of(url: str | None) -> str:
 def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
     """One wrapper per host: host, wrapper (JSON)."""
     spark = pages.sparkSession
-    bounded_batches(spark, 500, "16m")
+    bounded_batches(spark)
     schema = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
 
     def fold(batches):
@@ -369,7 +369,7 @@ def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
                 h = host_of(url)
                 if (twin := hash((h, text))) in seen or not text:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 100_000:
                     seen.add(twin)
                 s = skeleton(parse(text))
                 held[h] = merge(held[h], s) if h in held else s
@@ -384,7 +384,7 @@ def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
 
         return run
 
-    first = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(fold, "host string, salt int, wrapper string")
+    first = arrow(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), fold, "host string, salt int, wrapper string")
     salted = first.groupBy("host", "salt").applyInArrow(combine(["host", "salt"], schema), "host string, salt int, wrapper string")
     return salted.groupBy("host").applyInArrow(combine(["host"], pa.schema([("host", pa.string()), ("wrapper", pa.string())])), "host string, wrapper string")
 
@@ -397,7 +397,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     kind = "page_id long, url string, text string, n_chars long"
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    bounded_batches(spark, 500, "16m")
+    bounded_batches(spark)
     if total <= broadcast_bytes:
         held = spark.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
 
@@ -415,7 +415,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
 
             yield from batched(out(), schema, 500)
 
-        return source.mapInArrow(run, kind)
+        return arrow(source, run, kind)
 
     def run_joined(batches):
         memos: dict[str, tuple] = {}
@@ -434,7 +434,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
         yield from batched(out(), schema, 500)
 
     host = F.udf(host_of, "string", useArrow=True)("url")
-    return source.withColumn("host", host).join(wrappers.hint("shuffle_hash"), "host", "left").mapInArrow(run_joined, kind)
+    return arrow(source.withColumn("host", host).join(wrappers, "host", "left"), run_joined, kind)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
