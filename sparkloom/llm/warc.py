@@ -6,14 +6,15 @@ one task merges its pieces of all runs with a k-way loser tree, which gives glob
 archives come back through Spark's binaryFile reader, so they may lie in any store Spark reads.
 
 Payloads that are equal and of at least `min_bytes` are stored once: the record of the smallest page id is the response and
-the others are revisits of it. Digests are aggregated on the map side (digest, smallest id), so a page copied onto a third
-of all rows is one row per task there.
+the others are revisits of it, which carry its digest and length, so that reading needs no join. Digests are aggregated on the
+map side (digest, smallest id), so a page copied onto a third of all rows is one row per task there.
 
 A run's piece of a key range is streamed in batches by the merging task, which holds one loser tree of k heads. A URL with
 a third of all captures does not fill one task either: ranges are cut by (key, timestamp, page id).
 
-Defined results: null html is the empty payload; null urls have the empty key; repeated page ids are each a capture; an
-empty table gives no archives and no rows; other columns are ignored. Files are named by stage attempt and are only read
+Defined results: null html is the empty payload; null urls have the empty key; repeated page ids are each a capture, and a
+repeated row of a response is a response; rows without page_id are responses, captured at the epoch, and first of their
+history; an empty table gives no archives and no rows; other columns are ignored. Files are named by stage attempt and are only read
 when the writing task has committed its index row, so a lost executor or a repeated task leaves nothing that is read twice.
 """
 
@@ -32,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batched, bounded_batches, columns, materialise, scratch_path
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, materialise, release, scratch_path
 
 #: Captures carry no time of their own in `pages`; a page's capture time is this epoch plus its id in seconds.
 EPOCH = 1_600_000_000
+#: Our own header of a revisit: bytes of the payload that it stands for.
+LENGTH = "X-Payload-Length"
 
 
 def url_key(url: str | None) -> str:
@@ -93,7 +96,7 @@ def record(kind: str, url: str, when: int, page_id: object, digest: str, payload
     body = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", re.sub(r"[\r\n]", " ", url)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if kind == "revisit":
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), (LENGTH, str(len(payload)))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -137,12 +140,15 @@ def _open(path: str):
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = 32 << 20) -> DataFrame:
     """Archives under `folder`; returns the runs: key, ts, page_id, kind, digest, file, offset, length, run."""
     spark = pages.sparkSession
-    bounded_batches(spark, 500, "16m")
+    bounded_batches(spark)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sized = p.select("page_id", F.unhex(F.sha1(F.col("html"))).alias("sha1"), F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
-    firsts = sized.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "first")
-    revisits = sized.join(firsts, "sha1").where("page_id <> first").groupBy("page_id").agg(F.first("first").alias("refers_to"))
-    typed = p.join(revisits.withColumnRenamed("page_id", "rid").hint("shuffle_hash"), F.col("page_id") == F.col("rid"), "left").drop("rid")
+    p = p.withColumn("sha1", F.unhex(F.sha1("html")))
+    sized = p.where(F.octet_length("html") >= min_bytes).select("page_id", "sha1")
+    # Written, so that Spark can split the rows of one digest in the join.
+    firsts = materialise(sized.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "refers_to"), "firsts")
+    revisits = materialise(sized.join(firsts, "sha1").where("page_id <> refers_to").distinct(), "revisits")
+    release(firsts)
+    typed = p.join(revisits, ["page_id", "sha1"], "left").drop("sha1")
     schema = pa.schema([("key", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("run", pa.string())])
 
     def run(batches):
@@ -170,7 +176,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int
         rows.sort(key=lambda r: (r[0], r[1], r[2] or 0))
         yield from batched(iter(rows), schema)
 
-    return materialise(typed.mapInArrow(run, "key string, ts long, page_id long, kind string, digest string, file string, offset long, length long, run string"), "warc-runs")
+    runs = materialise(arrow(typed, run, "key string, ts long, page_id long, kind string, digest string, file string, offset long, length long, run string"), "warc-runs")
+    release(revisits)
+    return runs
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
@@ -207,14 +215,23 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         merged = LoserTree([(((x[0], x[1], x[2] or 0), x) for x in stream(t)) for t in pieces.values()])
         yield from batched(((*x, part, i) for i, (_, x) in enumerate(merged)), schema)
 
-    return dealt.select(*names).mapInArrow(run, "key string, ts long, page_id long, kind string, digest string, file string, offset long, length long, run string, part int, pos long")
+    return arrow(dealt.select(*names), run, "key string, ts long, page_id long, kind string, digest string, file string, offset long, length long, run string, part int, pos long")
+
+
+RECORDS = "page_id long, url string, kind string, payload_bytes long, payload_digest string, refers_to long, file string, offset long"
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record in the folder (join with a capture history to leave out files of lost attempts): page_id, url, kind, digest, payload_bytes, payload_digest, refers_to, file, offset."""
-    bounded_batches(spark, 4, "64m")
+    """Every record in the folder, none without a folder (join with a capture history to leave out files of lost attempts).
+
+    A response's bytes and digest are those of its payload, checked against its record; a revisit's are those it carries.
+    """
+    bounded_batches(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], RECORDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("kind", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
 
     def number(x: str | None):
         found = re.fullmatch(r"<urn:page:(-?\d+)>", x or "")
@@ -235,23 +252,54 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         end = left.tell() - len(d.unused_data)
                         h, payload = parse(b"".join(raw))
                         response = h["WARC-Type"] == "response"
-                        yield number(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload) if response else None, base32(hashlib.sha1(payload).digest()) if response else None, number(h.get("WARC-Refers-To")), file, offset
+                        told = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if response and base32(hashlib.sha1(payload).digest()) != told:
+                            raise ValueError(f"{file} at {offset}: the payload has another digest than its record says")
+                        yield number(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], len(payload) if response else int(h[LENGTH]), told, number(h.get("WARC-Refers-To")), file, offset
                         offset = end
 
         yield from batched(out(), schema)
 
-    records = files.mapInArrow(run, "page_id long, url string, kind string, digest string, payload_bytes long, payload_digest string, refers_to long, file string, offset long")
-    return records
+    return arrow(files, run, RECORDS)
+
+
+def numbered(merged: DataFrame) -> DataFrame:
+    """The merged entries with history_pos, their place in the whole history from 0."""
+    merged = materialise(merged, "warc-history")
+    sizes = sorted(merged.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row per partition
+    begins, at = [], 0
+    for r in sizes:
+        begins.append((r.part, at))
+        at += r.n
+    before = merged.sparkSession.createDataFrame(begins, "part int, before long")
+    return merged.join(F.broadcast(before), "part").withColumn("history_pos", F.col("before") + F.col("pos")).drop("before")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive `pages`, merge the capture index, read the archives back; a revisit's payload is its response's."""
+    """Archive `pages`, merge the capture index, read the archives back; every record has its place in the merged history."""
     folder = scratch_path(spark, "warc")
     runs = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    history = materialise(merge_runs(runs), "warc-history")
-    records = materialise(read_archives(spark, folder), "warc-records")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    placed = records.join(history.select("file", "offset", "part", "pos"), ["file", "offset"])
-    full = placed.where("kind = 'response'").groupBy(F.col("page_id").alias("rid")).agg(F.max("payload_bytes").alias("rb"), F.max("payload_digest").alias("rd"))
-    out = placed.join(full, F.col("refers_to") == F.col("rid"), "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "rb").alias("payload_bytes"), F.coalesce("payload_digest", "rd").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", F.col("part").alias("history_part"), F.col("pos").alias("history_pos"))
+    history = numbered(merge_runs(runs)).select("file", "offset", "history_pos")
+    placed = read_archives(spark, folder).join(history, ["file", "offset"])
+    return placed.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "history_pos")
+
+
+ORACLE_SQL = r"""
+with p as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, coalesce(url, '') as url from pages
+), u as (
+    select *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[0-9]*\.', '') as host,
+        regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q
+    from p
+), k as (
+    select *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || case when path = '' then '/' else lower(path) end
+        || case when q = '' then '' else '?' || lower(q) end as key, min(page_id) over (partition by h) as first
+    from u
+)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as int) >> (15 - 5 * (i % 4))) & 31) + 1]), '') as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id = first then null else first end as refers_to,
+    row_number() over (order by key, page_id) - 1 as history_pos
+from k
+"""
