@@ -26,7 +26,7 @@ def test_decontaminate(spark, docs):
     got = decontaminate.contamination(docs, bench).select("doc_id", "n_words", F.size("spans").alias("s"))
     want = decontaminate.brute_force(list(enumerate(TEXTS)), [(r.item_id, r.text) for r in bench.collect()])
     assert rows(got.where("s > 0"), "doc_id") == sorted((w[0],) for w in want if w[5])
-    one_by_one = decontaminate.contamination(docs, bench, block_bytes=1)
+    one_by_one = decontaminate.contamination(docs, bench, block_windows=1)
     assert rows(one_by_one.where(F.size("spans") > 0), "doc_id") == rows(got.where("s > 0"), "doc_id")
     assert decontaminate.decontaminated(docs, bench).columns == docs.columns
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0

@@ -22,7 +22,7 @@ def test_decontamination():
     r = random.Random(2)
     items = [(i, " ".join(r.choice("ab") for _ in range(r.randint(0, 7)))) for i in range(6)] + [(9, None), (10, "")]
     docs = [(i, " ".join(r.choice("abC.") for _ in range(r.randint(0, 40)))) for i in range(60)] + [(99, None)]
-    index = decontaminate.window_index(items, 4)
+    index = decontaminate.Index([(i, decontaminate.words(t)) for i, t in items], 4)
     for d, words, hit, n, _, _ in decontaminate.brute_force(docs, items, 4):
         got = decontaminate.scan(dict(docs)[d], index)
         assert (got[0], sum(z - a for a, z in got[1]), len(got[2])) == (words, hit, n)
