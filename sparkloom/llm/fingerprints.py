@@ -140,7 +140,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     source = d
     if sizes.where("rows > 1").limit(1).count():
         source = d.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    heads = source.join(pairs.select(F.col("doc_id").alias("own_id"), "next_id", "half"), F.col("doc_id") == F.col("next_id")).select("own_id", F.expr("left(text, half)").alias("head"), digests(F.col("text")).alias("next_keys"))
+    heads = source.join(pairs.select(F.col("doc_id").alias("own_id"), "next_id", "half").hint("merge"), F.col("doc_id") == F.col("next_id")).select("own_id", F.expr("left(text, half)").alias("head"), digests(F.col("text")).alias("next_keys"))
     both = named.join(heads, named.doc_id == heads.own_id).select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text", "head", "next_keys")
     n = F.length("text")
     edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.expr("left(head, cast(floor(length(text) / 2) as int))"))

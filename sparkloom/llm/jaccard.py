@@ -364,7 +364,7 @@ def _grouped(docs: DataFrame, percent: int, n: int, block_size: int, weight: int
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls")
     tasks = materialise(tasks_of(members, block_size, weight), "tasks")
     # By the row's key: rows of one doc_id, or of none, may have several texts.
-    texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep"), F.col("rid") == F.col("rep"))
+    texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep").hint("merge"), F.col("rid") == F.col("rep"))
     found = connected_components(links_in(texts, percent, n)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
     release(tasks, blocks)
     sketch.unpersist()
@@ -395,7 +395,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     best = found.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "times")).alias("best"))
     kept = materialise(best.select(F.col("best.rid").alias("_kept"), F.col("best.times").alias("_times")), "kept")
     keyed = docs.withColumn("_rid", row_key())
-    chosen = lambda which: keyed.join(kept.where(which), F.col("_rid") == F.col("_kept"), "left_semi")
+    chosen = lambda which: keyed.join(kept.where(which).hint("merge"), F.col("_rid") == F.col("_kept"), "left_semi")
     if not kept.where("_times > 1").limit(1).count():
         return chosen("_times = 1").drop("_rid")
     again = chosen("_times > 1").groupBy("_rid").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")

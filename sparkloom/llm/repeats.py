@@ -3,8 +3,8 @@
 1. Anchors. In every window of `length` bytes the least hash of its K-grams is an anchor, so two equal windows have equal
    anchors at equal places. An anchor is known by its K-gram (key) and its context, the bytes that any window through it can
    hold: up to length - K before it and `length` from it on. Long documents only give more anchors.
-2. Equal contexts are one class, combined on the map side: copies of whole passages never travel. A class met twice is a
-   repeat over its whole context. Keys with one class are done.
+2. Equal contexts are one class: anchors are ordered by key and context in one range shuffle, which splits a hot key over
+   tasks. A class met twice is a repeat over its whole context. Keys that occur once, and keys with one class, are done.
 3. For each key with several classes, one text of every class goes to an enhanced suffix array: the suffixes from the anchor
    are sorted, and a stack scan over the lengths of their common prefixes walks the interval tree bottom-up. At an interval of
    common length r, members are kept in the order of what stands before the anchor; neighbours there with l common bytes on
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -212,18 +213,13 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in arrays], schema=fields)
 
     found = materialise(arrow(docs, find, "key long, ctx long, rid long, pos int, ahead int"), "anchors")
-    # Keys of one row are most of them and end here. Both sides of every join below are written tables, whose large partitions
-    # Spark can split.
-    keys = materialise(found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
-    met = materialise(found.join(keys, "key", "left_semi"), "met")
-    release(found, keys)
-    classes = materialise(met.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "classes")
-    many = materialise(classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "many")
-    copied = met.join(classes.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    whole = materialise(copied.select("rid", (F.col("pos") - F.least("pos", F.lit(before))).cast("long").alias("start"), (F.col("pos") + F.col("ahead")).cast("long").alias("last")).distinct(), "whole")
+    met = materialise(_judged(found).where("keep"), "met")
+    release(found)
+    whole = materialise(met.where("copied").select("rid", (F.col("pos") - F.least("pos", F.lit(before))).cast("long").alias("start"), (F.col("pos") + F.col("ahead")).cast("long").alias("last")).distinct(), "whole")
+    reps = met.where("rep").select("key", "rid", "pos")
+    many = materialise(reps.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "many")
+    wanted = materialise(reps.join(many.hint("merge"), "key").select(F.col("rid").alias("wid"), "key", "pos", "m"), "wanted")
     release(met)
-    wanted = materialise(classes.join(many, "key").select(F.col("rep.rid").alias("wid"), "key", "rep.pos", "m"), "wanted")
-    release(classes)
     partial = materialise(_scanned(_contexts(docs, wanted.where(F.col("m") <= group), length, before), length), "partial")
     out = [whole, partial]
     if many.where(F.col("m") > group).limit(1).count():
@@ -232,6 +228,43 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
     return functools.reduce(DataFrame.unionByName, out)
 
 
+def _judged(found: DataFrame) -> DataFrame:
+    """The anchors with keep (the key may occur again), copied (the class occurs again) and rep (the first of its class).
+
+    One range shuffle orders all anchors by key and context, so a key with a third of all rows is spread over many tasks. Only
+    rows of one task are compared: a class that is cut between two tasks has a rep in both, which meet in the interval tree;
+    the first and the last key of a task are always kept.
+    """
+    parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    order = ("key", "ctx", "rid", "pos")
+    dealt = found.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "ctx", "rid", "pos", "ahead")
+    return arrow(dealt, judge, "rid long, pos int, ahead int, key long, keep boolean, copied boolean, rep boolean")
+
+
+def judge(batches):
+    """The rows of one task, in order: see _judged."""
+    schema = pa.schema([("rid", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32()), ("key", pa.int64()), ("keep", pa.bool_()), ("copied", pa.bool_()), ("rep", pa.bool_())])
+    held, first = None, None  # rows from the last one on whose neighbour is not known yet, with the row before them
+    for b in itertools.chain(batches, [None]):
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
+        if new is not None and not len(new[0]):
+            continue
+        if held is None:
+            if new is None:
+                return
+            held, before, first = new, (None, None), new[0][0]
+            continue
+        after = (None, None) if new is None else (new[0][0], new[1][0])
+        key, ctx, rid, pos, ahead = held
+        keys = np.concatenate(([key[0] == before[0]], key[1:] == key[:-1], [key[-1] == after[0]]))
+        both = keys & np.concatenate(([ctx[0] == before[1]], ctx[1:] == ctx[:-1], [ctx[-1] == after[1]]))
+        keep = keys[:-1] | keys[1:] | (key == first)
+        if new is None:
+            keep |= key == key[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, pos, ahead, key, keep, both[:-1] | both[1:], ~both[:-1])], schema=schema)
+        held, before = new, (key[-1], ctx[-1])
+
+
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> DataFrame:
     """key, rid, pos, before (reversed), after of the wanted places (wid, key, pos)."""
     schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
@@ -251,7 +284,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> D
         yield from batched(rows(), schema, 2_000)
 
     at = wanted.groupBy("wid").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
-    return arrow(docs.join(at, F.col("rid") == F.col("wid")).select("rid", "text", "at"), run, "key long, rid long, pos long, before binary, after binary")
+    return arrow(docs.join(at.hint("merge"), F.col("rid") == F.col("wid")).select("rid", "text", "at"), run, "key long, rid long, pos long, before binary, after binary")
 
 
 def _scanned(told: DataFrame, length: int) -> DataFrame:
@@ -306,7 +339,7 @@ def with_spans(docs: DataFrame, length: int, k: int, group: int) -> DataFrame:
     keyed = docs.withColumn("rid", row_key())
     found = repeats(keyed.select("rid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), length, k, group)
     per = found.groupBy(F.col("rid").alias("sid")).agg(F.collect_set(F.struct("start", "last")).alias("spans"))
-    return keyed.join(per, F.col("rid") == F.col("sid"), "left").drop("sid")
+    return keyed.join(per.hint("merge"), F.col("rid") == F.col("sid"), "left").drop("sid")
 
 
 def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:

@@ -55,7 +55,7 @@ def encode_misses(docs: DataFrame, reps: DataFrame, tokenizer: str | None, doc_i
 
     t = F.col(text).cast("string")
     keys = docs.select(F.col(doc_id).alias("_d"), t.alias("t"), F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256)).alias("digest"))
-    joined = keys.select("t", "digest", row_key("_d").alias("rep")).join(reps.select("rep"), "rep")
+    joined = keys.select("t", "digest", row_key("_d").alias("rep")).join(reps.select("rep").hint("merge"), "rep")
     return arrow(joined.select("digest", "t"), run, "digest binary, n_tokens long")
 
 
