@@ -112,3 +112,21 @@ def test_models_take_odd_texts():
 @pytest.mark.parametrize("text", [None, "", "one two", "A  b\tc d e f", "a b c d e f g"])
 def test_shingles(text):
     assert len(jaccard.shingles(text)) == jaccard.brute_force([(1, text)])[0][1]
+
+
+def test_judged_rows_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    rows = sorted((r.randint(0, 12), r.randint(0, 2), r.randint(0, 3), i, 5) for i in range(60))
+    names = ("key", "ctx", "rid", "pos", "ahead")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+    want = []
+    for i, (key, ctx, rid, pos, _) in enumerate(rows):
+        same = [x for x in rows if x[:2] == (key, ctx)]
+        want.append((rid, pos, key, sum(x[0] == key for x in rows) > 1 or key in (rows[0][0], rows[-1][0]), len(same) > 1, same[0] == rows[i]))
+    for size in (1, 2, 7, 60):
+        got = [tuple(x[n] for n in ("rid", "pos", "key", "keep", "copied", "rep")) for b in repeats.judge(batch(rows[at : at + size]) for at in range(0, 60, size)) for x in b.to_pylist()]
+        assert got == want
+    assert list(repeats.judge(iter([]))) == []
