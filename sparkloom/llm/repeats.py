@@ -23,7 +23,6 @@ removed; an empty table gives no rows; other columns are ignored or kept as they
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 from bisect import bisect_left, insort
@@ -220,12 +219,12 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
     many = materialise(reps.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "many")
     wanted = materialise(reps.join(many.hint("merge"), "key").select(F.col("rid").alias("wid"), "key", "pos", "m"), "wanted")
     release(met)
-    partial = materialise(_scanned(_contexts(docs, wanted.where(F.col("m") <= group), length, before), length), "partial")
-    out = [whole, partial]
-    if many.where(F.col("m") > group).limit(1).count():
-        out.append(materialise(_by_windows(_contexts(docs, wanted.where(F.col("m") > group), length, before), length), "by-windows"))
+    told = materialise(_contexts(docs, wanted, length, before), "contexts", "zstd")
     release(many, wanted)
-    return functools.reduce(DataFrame.unionByName, out)
+    partial = materialise(_scanned(told.where(F.col("m") <= group), length), "partial")
+    windows = materialise(_by_windows(told.where(F.col("m") > group), length), "by-windows")
+    release(told)
+    return whole.unionByName(partial).unionByName(windows)
 
 
 def _judged(found: DataFrame) -> DataFrame:
@@ -266,8 +265,8 @@ def judge(batches):
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> DataFrame:
-    """key, rid, pos, before (reversed), after of the wanted places (wid, key, pos)."""
-    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+    """key, m, rid, pos, before (reversed), after of the wanted places (wid, key, pos, m)."""
+    schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 
     def run(batches):
         def rows():
@@ -279,12 +278,12 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> D
                     last, raw = rid, t.encode()
                     for x in at:
                         p = x["pos"]
-                        yield x["key"], rid, p, raw[max(0, p - before) : p][::-1], raw[p : p + length]
+                        yield x["key"], x["m"], rid, p, raw[max(0, p - before) : p][::-1], raw[p : p + length]
 
         yield from batched(rows(), schema, 2_000)
 
-    at = wanted.groupBy("wid").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
-    return arrow(docs.join(at.hint("merge"), F.col("rid") == F.col("wid")).select("rid", "text", "at"), run, "key long, rid long, pos long, before binary, after binary")
+    at = wanted.groupBy("wid").agg(F.collect_list(F.struct("key", "pos", "m")).alias("at"))
+    return arrow(docs.join(at.hint("merge"), F.col("rid") == F.col("wid")).select("rid", "text", "at"), run, "key long, m long, rid long, pos long, before binary, after binary")
 
 
 def _scanned(told: DataFrame, length: int) -> DataFrame:
@@ -312,7 +311,7 @@ def _scanned(told: DataFrame, length: int) -> DataFrame:
 
         yield from batched(rows(), spans)
 
-    return arrow(told.repartition(parts, "key").sortWithinPartitions("key", "rid", "pos"), run, "rid long, start long, last long")
+    return arrow(told.drop("m").repartition(parts, "key").sortWithinPartitions("key", "rid", "pos"), run, "rid long, start long, last long")
 
 
 def _by_windows(told: DataFrame, length: int) -> DataFrame:
