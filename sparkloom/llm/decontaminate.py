@@ -231,3 +231,31 @@ def brute_force(docs: list[tuple], items: list[tuple], n: int = 10) -> list[tupl
                         found.add(str(item))
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with d as (
+    select row_number() over () as row, doc_id, coalesce({_WORDS_SQL}, []) as w from documents
+), b as (
+    select item_id, coalesce({_WORDS_SQL}, []) as w from benchmark
+), q as (
+    select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as win
+    from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)
+), lengths as (
+    select distinct k from q
+), v as (
+    select row, k, i, array_to_string(w[i:i + k - 1], ' ') as win
+    from (select row, w, k, unnest(range(1, len(w) - k + 2)) as i from d, lengths where len(w) >= k)
+), hit as (
+    select v.row, v.k, v.i, q.item_id from v join q using (k, win)
+), covered as (
+    select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + k)) as p from hit) group by row
+), items as (
+    select row, count(*) as n_items, string_agg(item, ',' order by item) as names
+    from (select distinct row, cast(item_id as varchar) as item from hit) group by row
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (row) left join items using (row)
+"""

@@ -422,3 +422,26 @@ def brute_force(docs: list[tuple], percent: int = 75, n: int = 5) -> list[tuple]
             changed = changed or comp[a] != m or comp[b] != m
             comp[a] = comp[b] = m
     return [(d, len(s), comp[d]) for d, s in sets]
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+    select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as shingle
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+), n as (
+    select doc_id, count(*) as n from s group by doc_id
+), met as (
+    select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)
+), edges as (
+    select a, b from links union all select b, a from links
+), reach as (
+    select doc_id as node, doc_id as other from d union select reach.node, edges.b from reach join edges on edges.a = reach.other
+), least as (
+    select node, min(other) as component_id from reach group by node
+)
+select doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (doc_id) join least on node = doc_id
+"""
