@@ -55,13 +55,32 @@ def layer(edges: DataFrame, name: str, source: str, target: str) -> DataFrame:
 
 
 def check_rules(nodes: DataFrame, edges: DataFrame, rules: list[dict]) -> DataFrame:
-    """Violations of all rules: rule_name, src, dst."""
-    out = None
+    """Violations of all rules: rule_name, src, dst. One pass over the edges for forbidden and layer rules together, and one
+    aggregation by source for all required rules."""
+    kinds = {"forbidden": [], "layer": [], "required": []}
     for r in rules:
-        kind = r["rule_type"].lower()
-        found = required(nodes, edges, r["name"], r["source_pattern"], r["target_pattern"]) if kind == "required" else {"forbidden": forbidden, "layer": layer}[kind](edges, r["name"], r["source_pattern"], r["target_pattern"])
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else edges.select(F.lit("").alias("rule_name"), "src", "dst").limit(0)
+        kinds[r["rule_type"].lower()].append(r)
+    broken = []
+    for r in kinds["forbidden"] + kinds["layer"]:
+        down = C.glob(F.col("src"), r["source_pattern"]) & C.glob(F.col("dst"), r["target_pattern"])
+        up = C.glob(F.col("src"), r["target_pattern"]) & C.glob(F.col("dst"), r["source_pattern"])
+        broken.append(F.when(down if r in kinds["forbidden"] else ~down & up, F.lit(r["name"])))
+    names = F.filter(F.array(*broken), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
+    out = edges.select(F.explode(names).alias("rule_name"), "src", "dst")
+    if not kinds["required"]:
+        return out
+    has = [F.max(C.glob(F.col("dst"), r["target_pattern"])).alias(f"has{i}") for i, r in enumerate(kinds["required"])]
+    met = nodes.select("id").join(edges.groupBy(F.col("src").alias("id")).agg(*has), "id", "left")
+    lacks = F.array(*[F.when(C.glob(F.col("id"), r["source_pattern"]) & ~F.coalesce(F.col(f"has{i}"), F.lit(False)), F.struct(F.lit(r["name"]).alias("name"), F.lit(r["target_pattern"]).alias("dst"))) for i, r in enumerate(kinds["required"])])
+    missing = met.select("id", F.explode(F.filter(lacks, lambda x: x.isNotNull())).alias("v"))
+    return out.unionByName(missing.select(F.col("v.name").alias("rule_name"), F.col("id").alias("src"), F.col("v.dst").alias("dst")))
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: node_count, edge_count, has_cycle, cycle_count (strong components of two nodes or more)."""
+    cycles = graph.strong_components(edges).agg(F.countDistinct("component").alias("cycle_count"))
+    counts = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))
+    return counts.crossJoin(cycles).select("node_count", "edge_count", (F.col("cycle_count") > 0).alias("has_cycle"), "cycle_count")
 
 
 def allowed_layers(edges: DataFrame, layers: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -80,11 +99,12 @@ def parse_hunks(lines: DataFrame) -> DataFrame:
 
 
 def affected(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbol_id, overlap_ratio: share of a symbol's lines in hunks of its file, at most 1."""
+    """symbol_id, overlap_ratio: share of a symbol's lines in hunks of its file, at most 1, largest first."""
     s = symbols.select("symbol_id", "file_path", F.col("line").alias("a"), F.col("end_line").alias("z"))
     j = hunks.join(s, "file_path").where("start <= z and end >= a")
     both = F.least("end", "z") - F.greatest("start", "a") + 1
-    return j.groupBy("symbol_id").agg(F.least(F.sum(both) / F.max(F.col("z") - F.col("a") + 1), F.lit(1.0)).alias("overlap_ratio"))
+    shares = j.groupBy("symbol_id").agg(F.least(F.sum(both) / F.max(F.col("z") - F.col("a") + 1), F.lit(1.0)).alias("overlap_ratio"))
+    return shares.orderBy(F.desc("overlap_ratio"), "symbol_id")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -98,19 +118,56 @@ def changed_only(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("path", F.col("hash").alias("_old")), "path", "left").where("_old is null or _old <> hash").drop("_old")
 
 
+def change_counts(changes: DataFrame) -> DataFrame:
+    """One row: added, deleted, modified (renamed and type-changed files count as modified) of changes (change)."""
+    c = F.col("change")
+    return changes.agg(F.count_if(c == "added").alias("added"), F.count_if(c == "deleted").alias("deleted"), F.count_if(c.isin("modified", "renamed", "type_changed")).alias("modified"))
+
+
+def with_renames(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, old_path, change between snapshots (path, hash); a deleted and an added file of equal content are one renamed file."""
+    d = snapshot_diff(old, new)
+    place = lambda side: Window.partitionBy("hash").orderBy(side)
+    gone = d.where("change = 'deleted'").join(old, "path").select(F.col("path").alias("old_path"), "hash").withColumn("n", F.row_number().over(place("old_path")))
+    come = d.where("change = 'added'").join(new, "path").select("path", "hash").withColumn("n", F.row_number().over(place("path")))
+    moved = come.join(gone, ["hash", "n"]).select("path", "old_path")
+    rest = d.join(moved.select("path"), "path", "left_anti").join(moved.select(F.col("old_path").alias("path")), "path", "left_anti")
+    return moved.select("path", "old_path", F.lit("renamed").alias("change")).unionByName(rest.select("path", F.lit(None).cast("string").alias("old_path"), "change"))
+
+
+def range_map_totals(ranges: DataFrame) -> DataFrame:
+    """One row: files, symbols of a range map (file_path, symbol_id)."""
+    return ranges.agg(F.countDistinct("file_path").alias("files"), F.count("symbol_id").alias("symbols"))
+
+
 def debounced(events: DataFrame, millis: int = 500) -> DataFrame:
     """key, batch_start, n: batches that open at their first event and close `millis` later, whatever comes in between.
 
-    events: key, ts. The fold over one key's sorted times needs that key's times together; keys are hash-partitioned.
+    events: key, ts. Keys are hash-partitioned and sorted by time, and a task folds its sorted rows one after another, so it
+    holds one open batch whatever the number of a key's events.
     """
-    folded = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.array().cast("array<struct<s:bigint,n:bigint>>")
-
-    def step(acc, t):
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (t >= last.s + millis * 1000)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last.s.alias("s"), (last.n + 1).alias("n"))))
-        return F.when(F.size(acc) == 0, F.array(F.struct(t.alias("s"), F.lit(1).cast("long").alias("n")))).when(fresh, F.concat(acc, F.array(F.struct(t.alias("s"), F.lit(1).cast("long").alias("n"))))).otherwise(grown)
-
-    batches = folded.select("key", F.explode(F.aggregate("ts", start, step)).alias("b"))
-    return batches.select("key", F.timestamp_micros("b.s").cast(dict(events.dtypes)["ts"]).alias("batch_start"), F.col("b.n").alias("n"))
+    kind, key = dict(events.dtypes)["ts"], dict(events.dtypes)["key"]
+    timed = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).where("t is not null")
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = schema = None
+        start = n = 0
+        for b in batches:
+            schema = pa.schema([("key", b.schema.field(0).type), ("t", pa.int64()), ("n", pa.int64())])
+            out = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if known == (k,) and t < start + millis * 1000:
+                    n += 1
+                    continue
+                if known:
+                    out.append((known[0], start, n))
+                known, start, n = (k,), t, 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((known[0], start, n), schema)], schema=schema)
+
+    folded = timed.repartition("key").sortWithinPartitions("key", "t").mapInArrow(run, f"key {key}, t long, n long")
+    return folded.select("key", F.timestamp_micros("t").cast(kind).alias("batch_start"), "n")

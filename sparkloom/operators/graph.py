@@ -1,7 +1,7 @@
 """Graph operators over edges (src, dst): traversal, closure, cycles, order, impact, dependency graphs, hierarchies.
 
-Loops keep a frontier: one join with the edges and one anti-join with what is visited per level, checkpointed, so the work of a
-level is that of its frontier. Edges are partitioned by src once and cached by their caller when they are reused.
+Loops write the distinct edges once, partitioned by src, to the folder that all executors share, so a level reads those and
+not the source again. Each level joins its frontier with them and leaves out what is visited; levels are written as they come.
 """
 
 from __future__ import annotations
@@ -32,12 +32,27 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
 
+def links_of(edges: DataFrame) -> DataFrame:
+    """The distinct edges, written once and partitioned by src."""
+    return checkpointed(edges.select("src", "dst").repartition("src").distinct())
+
+
+def from_pairs(spark, pairs, kind: str = "string") -> DataFrame:
+    """Edges of a list of pairs."""
+    return spark.createDataFrame(list(pairs), f"src {kind}, dst {kind}")
+
+
+def neighbours(edges: DataFrame, key, incoming: bool = False) -> DataFrame:
+    """id of the distinct direct dependents (incoming) or dependencies of a node."""
+    return (callers_of if incoming else callees_of)(edges, key).distinct()
+
+
 def trace(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     """seed, id, depth: nodes reachable along edges with the least depth; the seed itself is left out.
 
     seeds: column id. max_depth None: until nothing new is found.
     """
-    links = edges.select("src", "dst").distinct()
+    links = links_of(edges)
     frontier = checkpointed(seeds.select(F.col("id").alias("seed"), F.col("id"), F.lit(0).alias("depth")).distinct())
     visited, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -54,7 +69,7 @@ def trace_all(edges: DataFrame, start, max_depth: int) -> DataFrame:
     """id, depth with the multiplicity of parallel edges at depth 1 and the start allowed to come back (compatible form)."""
     first = edges.where(F.col("src") == F.lit(start)).select(F.col("dst").alias("id"), F.lit(1).alias("depth"))
     frontier = checkpointed(first.distinct())
-    out, visited, links = first, frontier, edges.select("src", "dst").distinct()
+    out, visited, links = first, frontier, links_of(edges)
     for depth in range(2, max_depth + 1):
         step = frontier.join(links, frontier.id == links.src).select(F.col("dst").alias("id")).distinct()
         step = checkpointed(step.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
@@ -66,7 +81,7 @@ def trace_all(edges: DataFrame, start, max_depth: int) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id of everything reachable from any seed, the seeds included (also those that the graph lacks)."""
-    links = edges.select("src", "dst").distinct()
+    links = links_of(edges)
     frontier = checkpointed(seeds.select("id").distinct())
     visited = frontier
     while True:

@@ -58,3 +58,26 @@ def placeholders(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def batch_resolve(ids: DataFrame, symbols: DataFrame) -> DataFrame:
     """ids (pos, id) with their symbols; missing ones are left out, order and repeats stay."""
     return ids.join(symbols, "id")
+
+
+def lookup(keys: DataFrame, symbols: DataFrame) -> DataFrame:
+    """key, symbol_id: the symbol with that id, else the last one of that name, else the key itself."""
+    ids = symbols.select(F.col("symbol_id").alias("key"), F.lit(True).alias("known")).distinct()
+    names = symbols.groupBy(F.col("name").alias("key")).agg(F.max_by("symbol_id", "ord").alias("by_name"))
+    return keys.select("key").join(ids, "key", "left").join(names, "key", "left").select("key", F.when(F.col("known"), F.col("key")).otherwise(F.coalesce("by_name", "key")).alias("symbol_id"))
+
+
+def located(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """nodes (id, ...) with name, kind and location: file:line, or the file, or ? where the symbol is unknown."""
+    s = symbols.select(F.col("symbol_id").alias("id"), "name", "kind", F.coalesce(F.concat_ws(":", "file_path", F.col("line").cast("string")), "file_path").alias("at"))
+    return nodes.join(s, "id", "left").withColumn("name", F.coalesce("name", F.col("id").cast("string"))).withColumn("location", F.coalesce("at", F.lit("?"))).drop("at")
+
+
+#: Call types from the most specific to the least.
+SPECIFIC = ("MacroExpansion", "Virtual", "Callback", "Direct", "Unknown")
+
+
+def distinct_calls(calls: DataFrame) -> DataFrame:
+    """One row for each (file_path, callee_name, line): that of the most specific call type, then the first column."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SPECIFIC)), F.col("call_type")), F.lit(0))
+    return keep_best(calls.withColumn("_r", F.when(rank == 0, 99).otherwise(rank)), ["file_path", "callee_name", "line"], [F.col("_r"), F.col("col")]).drop("_r")
