@@ -47,8 +47,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
+#: Small rows (ids, labels) that one task writes at least, where their number is known.
+FEW = 100_000
+
+
+def materialise(df: DataFrame, name: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors.
+
+    rows: about how many small rows there are at most; they are written in files of FEW, not one for each shuffle partition.
+    """
+    df = df if rows is None else df.coalesce(max(1, -(-rows // FEW)))
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
@@ -138,9 +146,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     e = materialise(contract(edges.where("src is not null and dst is not null").select("src", "dst")).distinct(), "cc")
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    star, before = e, None
+    star, before, size = e, None, e.count()
     for _ in range(max_rounds):
-        last, star = star, materialise(_small_star(_large_star(star)), "cc")
+        last, star = star, materialise(_small_star(_large_star(star)), "cc", rows=size)
         if last is not e:
             release(last)
         n, s = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -359,8 +359,8 @@ def _grouped(docs: DataFrame, percent: int, n: int, block_size: int, weight: int
     both, steps = summaries(docs, n)
     sketch = spark.sparkContext.broadcast(steps)
     every = both.where("block is null").select("rid", "doc_id", "n_shingles", _long_of("digest").alias("cls"))
-    classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("size")), "classes")
-    blocks = materialise(connected_components(chains(prefixes(docs, sketch, percent, n), percent)), "blocks")
+    classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("size")), "classes", rows=(n_rows := every.count()))
+    blocks = materialise(connected_components(chains(prefixes(docs, sketch, percent, n), percent)), "blocks", rows=n_rows)
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls")
     tasks = materialise(tasks_of(members, block_size, weight), "tasks")
     # By the row's key: rows of one doc_id, or of none, may have several texts.
@@ -393,7 +393,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
     found = _grouped(docs, percent, n, BLOCK).groupBy("rid", "doc_id", "root").agg(F.count("*").alias("times"))
     alone = F.when(F.col("root").isNull(), F.struct("doc_id"))
     best = found.groupBy("root", alone.alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "times")).alias("best"))
-    kept = materialise(best.select(F.col("best.rid").alias("_kept"), F.col("best.times").alias("_times")), "kept")
+    kept = materialise(best.select(F.col("best.rid").alias("_kept"), F.col("best.times").alias("_times")), "kept", rows=docs.count())
     keyed = docs.withColumn("_rid", row_key())
     chosen = lambda which: keyed.join(kept.where(which).hint("merge"), F.col("_rid") == F.col("_kept"), "left_semi")
     if not kept.where("_times > 1").limit(1).count():
