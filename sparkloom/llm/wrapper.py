@@ -81,11 +81,32 @@ def _marked(tag: str, attrs: str) -> tuple[str, bool]:
     return " ".join(kept), drop or re.search(r"(?:^|\s)hidden(?:\s|$)", attrs, re.I) is not None
 
 
+#: Levels of the tree; what stands deeper is flattened into siblings on the last level, in order.
+DEPTH = 200
+
+
 def parse(text: str) -> Node:
-    """A DOM tree: Nodes with Nodes and strings (decoded) as kids."""
+    """A DOM tree: Nodes with Nodes and strings (decoded) as kids, of at most DEPTH levels.
+
+    A deeper block becomes a sibling on the last level, and what follows it in its parent goes on in a sibling like the
+    parent; inline elements there are part of what they stand in; parts of a dropped element stay dropped.
+    """
     root = Node("#root")
     stack = [root]
     at, end = 0, len(text)
+
+    def inner() -> Node:
+        """Where text and elements go now."""
+        if len(stack) <= DEPTH:
+            return stack[-1]
+        last, node = stack[DEPTH - 1], stack[-1]
+        if not last.kids or isinstance(last.kids[-1], str) or last.kids[-1].kids is not node.kids:
+            more = Node(next(x.tag for x in reversed(stack[DEPTH:]) if x.tag in BLOCK or x is stack[DEPTH]), node.marks, node.drop)
+            last.kids.append(more)  # a sibling goes on
+            stack[-1] = node = Node(node.tag, node.marks, node.drop)
+            node.kids = more.kids
+        return node
+
     while at < end:
         m = _TOKEN.match(text, at)
         at = m.end()
@@ -93,9 +114,9 @@ def parse(text: str) -> Node:
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
-                stack[-1].kids.append(entities.unescape(piece))
+                inner().kids.append(entities.unescape(piece))
             elif piece.startswith("<![CDATA["):
-                stack[-1].kids.append(piece[9:].removesuffix("]]>"))
+                inner().kids.append(piece[9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
@@ -122,16 +143,21 @@ def parse(text: str) -> Node:
                     break
         marks, drop = _marked(tag, m[3])
         node = Node(tag, marks + "!" if drop else marks, drop)
-        stack[-1].kids.append(node)
+        if len(stack) < DEPTH or tag in RAW or tag in VOID:
+            inner().kids.append(node)
+        elif tag not in BLOCK and not drop and len(stack) > DEPTH:
+            node.marks, node.kids, node.drop = stack[-1].marks, inner().kids, stack[-1].drop
+        else:
+            node.drop = drop or any(x.drop for x in stack[DEPTH:])
+            node.marks = marks + "!" if node.drop else marks
+            stack[DEPTH - 1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             if tag == "title" or tag == "textarea":
                 node.kids.append(entities.unescape(text[at : close.start() if close else end]))
             at = close.end() if close else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < 200:
-            stack.append(node)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            pass
+            stack.append(node)
     return root
 
 
