@@ -29,3 +29,10 @@ def test_hosts_are_the_same_on_both_paths(spark):
     want = [(i, f"text {i}\n\nmore {i * i}") for i in range(4)]
     for limit in (0, 32 << 20):
         assert sorted((r.page_id, r.text) for r in wrapper.main_text(pages, broadcast_bytes=limit).collect()) == want
+
+
+def test_what_stands_deep_is_judged_as_elsewhere():
+    for depth in (5, 195, 199, 200, 201, 250, 3000):
+        inside = "<p>one <b>two</b> three<br>four</p>tail <div class=advert>buy <p>now</p> more</div><section>five<p>six</p>seven <i>eight</i></section> end"
+        page = "<div>" * depth + inside + "</div>" * depth + "<p>after</p>"
+        assert wrapper.extract(page, None) == "one two three four\n\ntail\n\nfive\n\nsix\n\nseven eight\n\nend\n\nafter", depth
