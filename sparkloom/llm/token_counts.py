@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
-from sparkloom.llm.common import arrow, batched, bounded_batches, columns, scratch_path
+from sparkloom.llm.common import arrow, batched, bounded_batches, columns, materialise, scratch_path
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
@@ -67,7 +67,9 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, doc_
     reps = keys.groupBy("digest").agg(F.min("row").alias("rep"))
     misses = reps.join(stored(spark, cache, version), "digest", "left_anti").select("rep", "digest")
     encode_misses(docs, misses, tokenizer, doc_id, text).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    return keys.join(stored(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # Written, so that Spark can split the rows of one digest in the last join.
+    known = materialise(reps.select("digest").join(stored(spark, cache, version), "digest"), "token-counts")
+    return keys.join(known.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
