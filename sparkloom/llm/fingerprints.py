@@ -32,7 +32,7 @@ from sparkloom.llm.common import materialise
 PIECE = r"[^\n]{1,100}[^.!?\n]{0,100}[.!?]*"
 ROUNDS = 10
 #: Cells of a table, and digests of both texts in a bucket.
-SIZES, BUCKET = (4, 16, 128, 1024, 65536), 6
+SIZES, BUCKET = (4, 8, 32, 128, 1024, 65536), 8
 
 
 def digests(text: Column) -> Column:
@@ -105,7 +105,8 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, side: Col
         return F.transform(F.array(one), inner)[0]
 
     buckets = F.aggregate(F.sequence(F.lit(0), side - 1), F.lit(0), lambda acc, g: acc + outer(g))
-    d = F.when(a == b, F.lit(0)).otherwise(F.coalesce(peel(subtract(sketch_a, sketch_b), 8), buckets))
+    # 24 cells give back 24 digests at most.
+    d = F.when(a == b, F.lit(0)).otherwise(F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= 24, peel(subtract(sketch_a, sketch_b), 8)), buckets))
     return F.when(n == 0, F.lit(1.0)).otherwise((n - d) / (n + d).cast("double"))
 
 
@@ -125,15 +126,14 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(below), "part").select("doc_id", F.coalesce(F.lead("doc_id").over(w), "below").alias("next_id"))
 
 
-#: Place of the rows without doc_id.
+#: Place of the rows without doc_id, and reported as such.
 NO_ID = -(1 << 63)
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     own = F.col(doc_id).cast("long")
-    named = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), own.isNull().alias("none"))
-    d = named.select("doc_id", "text")
+    d = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sizes = d.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     sizes = materialise(sizes, "sizes")
     pairs = next_ids(sizes.select("doc_id")).join(sizes.select("doc_id", F.floor(F.col("n") / 2).cast("int").alias("half")), "doc_id")
@@ -141,7 +141,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if sizes.where("rows > 1").limit(1).count():
         source = d.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     heads = source.join(pairs.select(F.col("doc_id").alias("own_id"), "next_id", "half").hint("merge"), F.col("doc_id") == F.col("next_id")).select("own_id", F.expr("left(text, half)").alias("head"), digests(F.col("text")).alias("next_keys"))
-    both = named.join(heads, named.doc_id == heads.own_id).select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text", "head", "next_keys")
+    both = d.join(heads, d.doc_id == heads.own_id).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "head", "next_keys")
     n = F.length("text")
     edited = F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), F.expr("left(head, cast(floor(length(text) / 2) as int))"))
     staged = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(edited).alias("edited_keys"), "next_keys")
