@@ -124,30 +124,39 @@ def has_cycle(edges: DataFrame) -> bool:
 
 
 def _propagate(e: DataFrame, labels: DataFrame) -> DataFrame:
-    """Least label that reaches each node along edges (id, label), by rounds until nothing changes."""
+    """Least label that reaches each node along edges (id, label), by rounds until nothing changes.
+
+    Every node also has a jump, at first one of its successors, which doubles each round: labels run down a chain or a ring of
+    n nodes in log n rounds and not in n. A jump follows edges, so it carries nothing that they would not.
+    """
+    jump = checkpointed(e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("to")))
     while True:
-        sent = e.join(labels, e.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("sent"))
+        ways = e.select("src", "dst").union(jump.select("id", "to"))
+        sent = ways.join(labels, ways.src == labels.id).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("sent"))
         new = checkpointed(labels.join(sent, "id", "left").select("id", F.least("label", F.coalesce("sent", "label")).alias("label"), (F.coalesce("sent", "label") < F.col("label")).alias("moved")))
         labels = new.select("id", "label")
         if new.where("moved").isEmpty():
             return labels
+        far = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        jump = checkpointed(jump.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to")))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of strongly connected components of two nodes or more.
 
-    Forward-backward colouring: every node takes the least id that reaches it; what the colour's root is reached from, within
-    the colour, is the root's component. The rest goes another round.
+    Forward-backward colouring: every node takes the least id that reaches it; what reaches the colour's root within the colour
+    is the root's component. The rest goes another round.
     """
     e = trimmed(edges)
     out = None
     while not e.isEmpty():
         nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
         colour = checkpointed(_propagate(e, checkpointed(nodes.select("id", F.col("id").alias("label")))))
-        inside = e.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select(F.struct(F.col("dst"), F.col("a")).alias("src"), F.struct(F.col("src").alias("dst"), F.col("a")).alias("dst"))
-        inside = checkpointed(inside)
-        found = reachable(inside, colour.where("id = label").select(F.struct(F.col("id").alias("dst"), F.col("label").alias("a")).alias("id"))).select(F.col("id.dst").alias("id"), F.col("id.a").alias("component"))
-        found = checkpointed(found)
+        inside = e.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        back = checkpointed(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # 0 runs from each root against the edges of its colour, which are no other colour's.
+        reached = _propagate(back, checkpointed(colour.select("id", (F.col("id") != F.col("label")).cast("int").alias("label"))))
+        found = checkpointed(reached.where("label = 0").select("id").join(colour.select("id", F.col("label").alias("component")), "id"))
         many = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
         part = found.join(many, "component", "left_semi").select("id", "component")
         out = part if out is None else out.union(part)
