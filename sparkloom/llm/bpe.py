@@ -21,6 +21,18 @@ RUN = 10_000
 _LONG = re.compile(r"(?<!\s)\s{%d}|(?<!\S)\S{%d}" % (RUN + 1, RUN + 1))
 
 
+def has_long_run(text: str) -> bool:
+    """Whether RUN is passed. Most long texts are settled by their words' lengths, before the pattern is tried."""
+    if len(text) <= RUN:
+        return False
+    words = text.split()
+    lengths = list(map(len, words))
+    # Every gap between words has a character, so a run of white space has at most what is over.
+    if max(lengths, default=0) <= RUN and len(text) - sum(lengths) - len(words) < RUN:
+        return False
+    return _LONG.search(text) is not None
+
+
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,7 +60,7 @@ class Encoder:
         return self._library
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special) or len(text) > RUN and _LONG.search(text):
+        if self.fast is None or any(s in text for s in self.special) or has_long_run(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast(text)
 

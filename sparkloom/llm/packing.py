@@ -56,10 +56,11 @@ class Index:
         """Scores of all documents for all of the seed's terms."""
         terms, ends = self.own
         t = terms[ends[seed] : ends[seed + 1]]
-        scores = np.zeros(self.n, np.float32)
-        for a, z in zip(self.at[t].tolist(), self.at[t + 1].tolist()):
-            scores[self.docs[a:z]] += self.weights[a:z]
-        return scores
+        if not len(t):
+            return np.zeros(self.n, np.float32)
+        lists = list(map(slice, self.at[t].tolist(), self.at[t + 1].tolist()))
+        docs, weights = (np.concatenate([x[s] for s in lists]) for x in (self.docs, self.weights))
+        return np.bincount(docs, weights, self.n).astype(np.float32)
 
 
 def best_first(scores: np.ndarray) -> Iterator[int]:
