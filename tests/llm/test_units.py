@@ -130,3 +130,11 @@ def test_judged_rows_do_not_depend_on_batches():
         got = [tuple(x[n] for n in ("rid", "pos", "key", "keep", "copied", "rep")) for b in repeats.judge(batch(rows[at : at + size]) for at in range(0, 60, size)) for x in b.to_pylist()]
         assert got == want
     assert list(repeats.judge(iter([]))) == []
+
+
+def test_long_runs_are_seen():
+    n = bpe.RUN
+    for gap in (" ", "\n", "\t \r"):
+        run = (gap * n)[:n]
+        for text, want in ((run, False), (run + gap[0], True), ("a" + run + "b", False), ("a " * n + run + gap[0] + "b", True), ("x" * n, False), ("x" * (n + 1), True), ("a " * n + "x" * (n + 1), True), ("a  " * n, False), ("a " * n, False)):
+            assert bpe.has_long_run(text) is want
