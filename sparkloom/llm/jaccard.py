@@ -12,11 +12,17 @@ in that order, and neither is smaller than three quarters of the other.
    share long beginnings). A set walks the trie depth first, sharing partial overlaps, and leaves a subtree when even a full
    match of the remaining lengths could not reach the bound. Subtrees whose members all are in the walker's component already
    are passed over, so a block of thousands of near copies is not expanded into pairs.
-3. Blocks over `BLOCK` classes or `WEIGHT` shingles are cut by size class (base 4/3; a link never spans more than two
-   neighbours) and then into pieces by hash; every pair of pieces is a task, so no task holds more than two pieces, by classes
-   and by shingles, whatever a block's size.
+3. Blocks over `BLOCK` classes or `WEIGHT` shingles are mostly sets that chance strings together, and more so in larger corpora.
+   Their chains are dealt by the hash of the shingle to `HUES` hues, and the components of each hue are blocks of their own, up to
+   `LEVELS` times over: a linked pair shares a shingle, and all of that shingle's chain has one hue. Blocks of several hues with
+   the same members are one. What is still too large (one shingle in very many prefixes) is cut by size class (base 4/3; a link
+   never spans more than two neighbours) and then into pieces by hash; every pair of pieces is a task, so no task holds more than
+   two pieces, by classes and by shingles, whatever a block's size.
 4. Links (a spanning subset in each task) give components, which go back to classes and documents.
 
+The sketch has a cell for each 32 shingles of the corpus or so, within bounds, or counts would tell rare ones from common ones
+no longer.
+
 Defined results: null, empty and word-less texts have an empty set, no links and their own id as component; texts of fewer
 than five words have one shingle, the whole sequence; repeated rows of a doc_id are reported each; an empty table gives no
 rows; other columns are ignored. Sets are compared by 64-bit hashes of shingles.
@@ -24,6 +30,7 @@ rows; other columns are ignored. Sets are compared by 64-bit hashes of shingles.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -35,8 +42,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import arrow, batched, bounded_batches, columns, connected_components, materialise, release
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Cells of the sketch that orders shingles; classes and shingles in one task's piece of a block.
-SKETCH_BITS, BLOCK, WEIGHT = 22, 4_000, 1_000_000
+#: Cells of the sketch that orders shingles, at least and at most; classes and shingles in one task's piece of a block.
+SKETCH_BITS, SKETCH_MOST, BLOCK, WEIGHT = 22, 26, 4_000, 1_000_000
+#: Hues that the chains of a large block are dealt to, and how often.
+HUES, LEVELS = 4, 3
 #: Digests of sets that a task remembers having sent; others are sent again, which changes nothing.
 SENT = 100_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -80,14 +89,20 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(rid, doc_id, n_shingles, set digest) of every document, and the sketch of shingle counts over all documents."""
+def sketch_bits(n_bytes: int) -> int:
+    """Bits of a cell's number for texts of so many bytes, at about 7 bytes a shingle."""
+    return min(max((n_bytes // (7 * 32)).bit_length(), SKETCH_BITS), SKETCH_MOST)
+
+
+def summaries(docs: DataFrame, n: int, bits: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(rid, doc_id, n_shingles, cls) of every document, and the sketch of shingle counts over all documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    bits = bits or sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint16)
 
         def rows():
             for b in batches:
@@ -97,21 +112,20 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                     held.append(s)
                     yield rid, d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, None, None
                 if held:
-                    cells, times = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                    sketch[cells] += times.astype(np.uint32)
+                    cells, times = np.unique((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                    sketch[cells] = np.minimum(sketch[cells] + times, 65535)
             import zlib
 
-            part = sketch.reshape(64, -1)
-            for i in range(64):
-                if part[i].any():
-                    yield None, None, None, None, i, zlib.compress(np.minimum(part[i], 65535).astype(np.uint16).tobytes(), 1)
+            for i, part in enumerate(sketch.reshape(-1, 1 << 16)):
+                if part.any():
+                    yield None, None, None, None, i, zlib.compress(part.tobytes(), 1)
 
         yield from batched(rows(), schema, 2_000)
 
     def add(t: pa.Table) -> pa.Table:
         import zlib
 
-        total = np.zeros((1 << SKETCH_BITS) // 64, np.uint64)
+        total = np.zeros(1 << 16, np.uint64)
         for x in t.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(x), np.uint16)
         # Steps of a quarter: neighbours in count need no order of their own, and a byte is enough.
@@ -120,17 +134,19 @@ def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(row_key().alias("rid"), "doc_id", "text")
     both = materialise(arrow(source, run, "rid long, doc_id long, n_shingles long, digest binary, block int, counts binary"), "shingle-sets")
-    steps = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint8)
-    # 64 rows of 64 KB whatever the corpus holds.
+    steps = np.zeros((1 << bits - 16, 1 << 16), np.uint8)
+    # 64 to 1,024 rows of 64 KB.
     for r in both.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, steps binary").collect():
         steps[r.block] = np.frombuffer(r.steps, np.uint8)
-    steps = steps.ravel()
-    return both, steps
+    texts = both.where("block is null").select("rid", "doc_id", "n_shingles", _long_of("digest").alias("cls"))
+    every = materialise(texts, "every", rows=texts.count())
+    release(both)
+    return every, steps.ravel()
 
 
 def ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The set in the global order: times seen, then hash."""
-    return s[np.lexsort((s, sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
+    return s[np.lexsort((s, sketch[(s >> np.uint64(65 - len(sketch).bit_length())).astype(np.int64)]))]
 
 
 def index_length(size: int, percent: int) -> int:
@@ -170,10 +186,10 @@ def class_id(s: np.ndarray) -> int:
 
 
 def chains(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges src, dst between classes that share a prefix shingle, linear in the rows."""
+    """Edges src, dst between classes that share a prefix shingle, linear in the rows; hue: some bits of the shingle's hash."""
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = rows.repartition(n, "token").sortWithinPartitions("token", "size", "cls", F.desc("indexed"))
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("hue", pa.int64())])
 
     def run(batches):
         last = (None, 0, 0)  # token, size and class of the last indexed row
@@ -188,12 +204,13 @@ def chains(rows: DataFrame, percent: int) -> DataFrame:
             pc = np.where(inside, c[before], last[2])
             ok = (pt == t) & (pc != c) & (100 * pz.astype(np.int64) >= percent * z.astype(np.int64)) & (inside | (last[0] is not None))
             if ok.any():
-                pairs = np.unique(np.stack([np.minimum(pc[ok], c[ok]), np.maximum(pc[ok], c[ok])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                hue = (_mix(t[ok].view(np.uint64)) % np.uint64(HUES**LEVELS)).astype(np.int64)
+                pairs = np.unique(np.stack([np.minimum(pc[ok], c[ok]), np.maximum(pc[ok], c[ok]), hue], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], schema=schema)
             if (k := int(at.max())) >= 0:
                 last = (t[k], z[k], c[k])
 
-    return arrow(rows, run, "src long, dst long")
+    return arrow(rows, run, "src long, dst long, hue long")
 
 
 class _Node:
@@ -305,9 +322,48 @@ def join_block(sets: list[np.ndarray], percent: int, left: int | None = None) ->
     return links
 
 
+def _pieces(block_size: int, weight: int):
+    """Pieces of a group of members, by classes and by shingles."""
+    return F.greatest(F.ceil(F.count("*") / block_size), F.ceil(F.sum("size") / weight)).cast("int")
+
+
+def smaller_blocks(members: DataFrame, edges: DataFrame, block_size: int, weight: int) -> DataFrame:
+    """The members (doc_id, cls, size, block) with each block over the bounds in place of which stand those of its hues.
+
+    A class may be in several blocks then; classes that share a shingle of their chains still meet in one. Ids of blocks are hashes:
+    two that collide make one block, which loses nothing.
+    """
+    pieces = _pieces(block_size, weight)
+    over = members.groupBy("block").agg(pieces.alias("n")).where("n > 1").select("block")
+    large = materialise(members.join(over, "block", "left_semi").select("doc_id", "cls", "size", "block"), "large")
+    if not large.limit(1).count():
+        return members
+    out = [members.join(over, "block", "left_anti").select("doc_id", "cls", "size", "block")]
+    inside = materialise(edges.join(large.select(F.col("cls").alias("src"), "block"), "src").select("src", "dst", "hue", "block"), "inside")
+    for level in range(LEVELS):
+        shade = F.pmod(F.floor(F.col("hue") / HUES**level), F.lit(HUES))
+        ends = materialise(inside.select("src", "dst", "hue", *(F.xxhash64(x, F.col("block"), shade).alias(f"{x}_node") for x in ("src", "dst"))), "ends")
+        found = materialise(connected_components(ends.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))), "hued")
+        nodes = ends.select(F.col("src_node").alias("node"), F.col("src").alias("cls")).union(ends.select("dst_node", "dst")).distinct()
+        known = members.select("doc_id", "cls", "size")
+        parted = materialise(nodes.join(found, "node").join(known, "cls").select("doc_id", "cls", "size", F.col("component").alias("block")).distinct(), "parted")
+        told = materialise(parted.groupBy("block").agg(pieces.alias("n"), F.count("*").alias("classes"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")), "told")
+        once = told.where("n <= 1").groupBy("classes", "x", "y").agg(F.min("block").alias("block")).select("block")
+        out.append(parted.join(once, "block", "left_semi").select("doc_id", "cls", "size", "block"))
+        left = told.where("n > 1").select("block")
+        release(large, inside)
+        large = materialise(parted.join(left, "block", "left_semi").select("doc_id", "cls", "size", "block"), "large")
+        inside = materialise(ends.join(found, F.col("src_node") == F.col("node")).select("src", "dst", "hue", F.col("component").alias("block")).join(left, "block", "left_semi").select("src", "dst", "hue", "block"), "inside")
+        release(ends, found)
+        if not large.limit(1).count():
+            break
+    release(inside)
+    return functools.reduce(DataFrame.union, [*out, large])
+
+
 def tasks_of(members: DataFrame, block_size: int, weight: int) -> DataFrame:
     """doc_id, cls, task, side (null, 0 or 1) for the members (doc_id, cls, size, block) of the blocks."""
-    pieces_of = F.greatest(F.ceil(F.count("*") / block_size), F.ceil(F.sum("size") / weight)).cast("int")
+    pieces_of = _pieces(block_size, weight)
     counts = members.groupBy("block").agg(pieces_of.alias("n"))
     sized = members.join(counts, "block")
     small = sized.where(F.col("n") <= 1).select("doc_id", "cls", F.concat_ws("/", "block").alias("task"), F.lit(None).cast("int").alias("side"))
@@ -356,17 +412,17 @@ def _grouped(docs: DataFrame, percent: int, n: int, block_size: int, weight: int
     """rid, doc_id, n_shingles, root (class that stands for the group; null without shingles), component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both, steps = summaries(docs, n)
+    every, steps = summaries(docs, n)
     sketch = spark.sparkContext.broadcast(steps)
-    every = both.where("block is null").select("rid", "doc_id", "n_shingles", _long_of("digest").alias("cls"))
     classes = materialise(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("size")), "classes", rows=(n_rows := every.count()))
-    blocks = materialise(connected_components(chains(prefixes(docs, sketch, percent, n), percent)), "blocks", rows=n_rows)
-    members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls")
-    tasks = materialise(tasks_of(members, block_size, weight), "tasks")
+    edges = materialise(chains(prefixes(docs, sketch, percent, n), percent), "edges")
+    blocks = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("block"))
+    members = materialise(blocks.join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls").select("doc_id", "cls", "size", "block"), "members", rows=n_rows)
+    tasks = materialise(tasks_of(smaller_blocks(members, edges, block_size, weight), block_size, weight), "tasks")
     # By the row's key: rows of one doc_id, or of none, may have several texts.
     texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep").hint("merge"), F.col("rid") == F.col("rep"))
     found = connected_components(links_in(texts, percent, n)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    release(tasks, blocks)
+    release(tasks, members, edges)
     sketch.unpersist()
     rooted = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
