@@ -40,17 +40,40 @@ def test_one_hue_in_a_large_block_falls_back_to_pieces(spark):
     assert len(met) == n * (n - 1) // 2
 
 
-def test_links_of_strung_texts(spark):
+def strung(r, n):
+    """Texts that share two phrases of three with the next one; the rarest shingles, across two phrases, make them one block."""
+    phrases = [" ".join(f"w{r.randrange(10**9)}" for _ in range(10)) for _ in range(n + 2)]
+    return [" ".join(phrases[i : i + 3]) for i in range(n)]
+
+
+def counted(monkeypatch):
+    """How many rows go to tasks, and the members of the largest block, for each call that follows."""
+    held, deal, cut = [], jaccard.tasks_of, jaccard.smaller_blocks
+
+    def blocks(members, *args):
+        held.append(max([0, *(x["count"] for x in members.groupBy("block").count().collect())]))
+        return cut(members, *args)
+
+    def tasks_of(*args):
+        tasks = deal(*args)
+        held.append(tasks.count())
+        return tasks
+
+    monkeypatch.setattr(jaccard, "smaller_blocks", blocks)
+    monkeypatch.setattr(jaccard, "tasks_of", tasks_of)
+    return held
+
+
+def test_links_of_strung_texts(spark, monkeypatch):
     r = random.Random(5)
-    word = lambda: f"w{r.randrange(10**9)}"
-    phrases = [" ".join(word() for _ in range(8)) for _ in range(61)]
-    texts = [f"{phrases[i]} {' '.join(word() for _ in range(9))} {phrases[i + 1]}" for i in range(60)]
-    texts += [t + " " + word() for t in texts[::4]] + [texts[3], None, ""]
+    texts = strung(r, 60)
+    texts += [t + " tail" for t in texts[::4]] + [texts[3], None, ""]
     docs = list(enumerate(texts))
     want = sorted(jaccard.brute_force(docs))
     assert len({c for _, _, c in want}) == 62
-    for bounds in ({"block_size": 8},):
-        assert sorted(map(tuple, jaccard.similar(spark.createDataFrame(docs, DOCS), **bounds).collect())) == want
+    held = counted(monkeypatch)
+    assert sorted(map(tuple, jaccard.similar(spark.createDataFrame(docs, DOCS), block_size=8).collect())) == want
+    assert held[0] > 8
 
 
 def test_the_sketch_grows_with_the_corpus(spark):
@@ -63,3 +86,15 @@ def test_the_sketch_grows_with_the_corpus(spark):
         at = jaccard.ordered(s, steps)
         times = steps[(at >> np.uint64(64 - bits)).astype(np.int64)]
         assert times.tolist() == sorted(times.tolist()) and times[-1] == round(4 * np.log2(40)) and times[0] == 0
+
+
+def test_the_near_duplicates_stage_sends_strung_texts_few_times(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts = strung(random.Random(7), 80)
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[20] + " end"])), DOCS)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    held = counted(monkeypatch)
+    kept = corpus_pipeline.distinct(spark, docs, "")
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(80))
+    assert held[0] > 40 and held[1] < 10 * 80
