@@ -12,12 +12,14 @@ in that order, and neither is smaller than three quarters of the other.
    share long beginnings). A set walks the trie depth first, sharing partial overlaps, and leaves a subtree when even a full
    match of the remaining lengths could not reach the bound. Subtrees whose members all are in the walker's component already
    are passed over, so a block of thousands of near copies is not expanded into pairs.
-3. Blocks over `BLOCK` classes or `WEIGHT` shingles are mostly sets that chance strings together, and more so in larger corpora.
-   Their chains are dealt by the hash of the shingle to `HUES` hues, and the components of each hue are blocks of their own, up to
-   `LEVELS` times over: a linked pair shares a shingle, and all of that shingle's chain has one hue. Blocks of several hues with
-   the same members are one. What is still too large (one shingle in very many prefixes) is cut by size class (base 4/3; a link
-   never spans more than two neighbours) and then into pieces by hash; every pair of pieces is a task, so no task holds more than
-   two pieces, by classes and by shingles, whatever a block's size.
+3. Blocks over `BLOCK` classes or `WEIGHT` shingles are sets that chance strings together, or large groups of near copies. Each is
+   first dealt to pieces once, with some members (pivots) in every piece: that links groups of near copies, and what is linked
+   need not be compared again. The chains of the rest are dealt by the hash of the shingle to `HUES` hues, and the components of
+   each hue are blocks of their own where that costs less, up to `LEVELS` times over: a linked pair shares a shingle, and all of
+   that shingle's chain has one hue. Blocks of several hues with the same members are one. What is still too large is cut by size
+   class (base 4/3; a link never spans more than two neighbours) and then into pieces by hash: a component that holds much of it
+   meets the others only, and of these every pair of pieces is a task, so no task holds more than two pieces, by classes and by
+   shingles, whatever a block's size.
 4. Links (a spanning subset in each task) give components, which go back to classes and documents.
 
 The sketch has a cell for each 32 shingles of the corpus or so, within bounds, or counts would tell rare ones from common ones
@@ -46,6 +48,8 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SKETCH_BITS, SKETCH_MOST, BLOCK, WEIGHT = 22, 26, 4_000, 1_000_000
 #: Hues that the chains of a large block are dealt to, and how often.
 HUES, LEVELS = 4, 3
+#: Members of a large block that all its pieces get, about.
+PIVOTS = 64
 #: Digests of sets that a task remembers having sent; others are sent again, which changes nothing.
 SENT = 100_000
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -322,59 +326,112 @@ def join_block(sets: list[np.ndarray], percent: int, left: int | None = None) ->
     return links
 
 
-def _pieces(block_size: int, weight: int):
+def _pieces(block_size: int, weight: int, classes="count", shingles="weight"):
     """Pieces of a group of members, by classes and by shingles."""
-    return F.greatest(F.ceil(F.count("*") / block_size), F.ceil(F.sum("size") / weight)).cast("int")
+    return F.greatest(F.ceil(F.col(classes) / block_size), F.ceil(F.col(shingles) / weight)).cast("int")
+
+
+def _told(members: DataFrame, keys: list[str], block_size: int, weight: int) -> DataFrame:
+    """For each group by `keys`: count and weight of its members, most (those of its largest component), n (pieces) and cost.
+
+    The cost is about how many texts its tasks get: none where all members are linked already, else as tasks_of deals them.
+    """
+    per = members.groupBy(*keys, "comp").agg(F.count("*").alias("c"), F.sum("size").alias("w"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    told = per.groupBy(*keys).agg(F.sum("c").alias("count"), F.sum("w").alias("weight"), F.max(F.struct("c", "w", "comp")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    told = told.withColumn("n", _pieces(block_size, weight)).withColumn("rest", F.col("count") - F.col("most.c")).withColumn("rest_weight", F.col("weight") - F.col("most.w"))
+    left, right = _pieces(block_size, weight, "most.c", "most.w"), _pieces(block_size, weight, "rest", "rest_weight")
+    apart = 2 * (F.col("most.c") * right + F.col("rest") * (left + right))
+    return told.withColumn("cost", F.when(F.col("rest") == 0, 0).when(F.col("n") <= 1, F.col("count")).otherwise(F.least(apart, 2 * F.col("count") * F.col("n"))))
+
+
+def _with_comp(members: DataFrame) -> DataFrame:
+    """comp: the component of a member as far as it is known, else its own class."""
+    return members if "comp" in members.columns else members.withColumn("comp", F.col("cls"))
+
+
+def first_tasks(members: DataFrame, block_size: int, weight: int) -> DataFrame:
+    """doc_id, cls, task, side (null): the members of blocks over the bounds, each in one piece, some of them (pivots) in all.
+
+    Links found so join most of a group of near copies, however large, and what is linked need not be compared again.
+    """
+    sized = members.join(members.groupBy("block").agg(F.count("*").alias("count"), F.sum("size").alias("weight")).withColumn("n", _pieces(block_size, weight)).where("n > 1"), "block")
+    pivot = F.pmod(F.xxhash64("cls", F.lit(5)), F.greatest(F.floor(F.col("count") / PIVOTS), 4 * F.col("n"))) == 0
+    piece = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("n")).cast("int"))))
+    return sized.withColumn("piece", piece).select("doc_id", "cls", F.concat_ws("/", "block", "piece").alias("task"), F.lit(None).cast("int").alias("side"))
 
 
 def smaller_blocks(members: DataFrame, edges: DataFrame, block_size: int, weight: int) -> DataFrame:
-    """The members (doc_id, cls, size, block) with each block over the bounds in place of which stand those of its hues.
+    """The members (doc_id, cls, size, block, comp) with the blocks of its hues in place of each block over the bounds that costs
+    more than they do.
 
-    A class may be in several blocks then; classes that share a shingle of their chains still meet in one. Ids of blocks are hashes:
-    two that collide make one block, which loses nothing.
+    A class may be in several blocks then; classes that share a shingle of their chains still meet in one, unless they have the
+    same comp. Ids of blocks are hashes: two that collide make one block, which loses nothing.
     """
-    pieces = _pieces(block_size, weight)
-    over = members.groupBy("block").agg(pieces.alias("n")).where("n > 1").select("block")
-    large = materialise(members.join(over, "block", "left_semi").select("doc_id", "cls", "size", "block"), "large")
+    members = _with_comp(members)
+    names = ("doc_id", "cls", "size", "block", "comp")
+    told = _told(members, ["block"], block_size, weight)
+    over = told.where("n > 1").select("block")
+    large = materialise(members.join(over, "block", "left_semi").select(*names), "large")
     if not large.limit(1).count():
         return members
-    out = [members.join(over, "block", "left_anti").select("doc_id", "cls", "size", "block")]
-    inside = materialise(edges.join(large.select(F.col("cls").alias("src"), "block"), "src").select("src", "dst", "hue", "block"), "inside")
+    out = [members.join(over, "block", "left_anti").select(*names)]
+    costs = materialise(told.where("n > 1 and cost > 0").select("block", "cost"), "costs")
+    inside = materialise(edges.join(large.join(costs, "block", "left_semi").select(F.col("cls").alias("src"), "block"), "src").select("src", "dst", "hue", "block"), "inside")
     for level in range(LEVELS):
         shade = F.pmod(F.floor(F.col("hue") / HUES**level), F.lit(HUES))
-        ends = materialise(inside.select("src", "dst", "hue", *(F.xxhash64(x, F.col("block"), shade).alias(f"{x}_node") for x in ("src", "dst"))), "ends")
+        ends = inside.select("src", "dst", "hue", "block", *(F.xxhash64(x, F.col("block"), shade).alias(f"{x}_node") for x in ("src", "dst")))
         found = materialise(connected_components(ends.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))), "hued")
-        nodes = ends.select(F.col("src_node").alias("node"), F.col("src").alias("cls")).union(ends.select("dst_node", "dst")).distinct()
-        known = members.select("doc_id", "cls", "size")
-        parted = materialise(nodes.join(found, "node").join(known, "cls").select("doc_id", "cls", "size", F.col("component").alias("block")).distinct(), "parted")
-        told = materialise(parted.groupBy("block").agg(pieces.alias("n"), F.count("*").alias("classes"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")), "told")
-        once = told.where("n <= 1").groupBy("classes", "x", "y").agg(F.min("block").alias("block")).select("block")
-        out.append(parted.join(once, "block", "left_semi").select("doc_id", "cls", "size", "block"))
-        left = told.where("n > 1").select("block")
-        release(large, inside)
-        large = materialise(parted.join(left, "block", "left_semi").select("doc_id", "cls", "size", "block"), "large")
-        inside = materialise(ends.join(found, F.col("src_node") == F.col("node")).select("src", "dst", "hue", F.col("component").alias("block")).join(left, "block", "left_semi").select("src", "dst", "hue", "block"), "inside")
-        release(ends, found)
+        nodes = ends.select(F.col("src_node").alias("node"), F.col("src").alias("cls"), F.col("block").alias("parent")).union(ends.select("dst_node", "dst", "block")).distinct()
+        known = members.select("doc_id", "cls", "size", "comp").distinct()
+        parted = materialise(nodes.join(found, "node").join(known, "cls").select("doc_id", "cls", "size", F.col("component").alias("block"), "comp", "parent").distinct(), "parted")
+        told = materialise(_told(parted, ["block", "parent"], block_size, weight).select("block", "parent", "count", "x", "y", "n", "cost"), "told")
+        better = materialise(told.groupBy(F.col("parent").alias("block")).agg(F.sum("cost").alias("parts")).join(costs, "block").where("parts < cost").select("block"), "better")
+        # What the hues do not make cheaper, as a group of near copies that share all their shingles, is dealt as it is.
+        out.append(materialise(large.join(costs.join(better, "block", "left_anti"), "block", "left_semi").select(*names), "kept-blocks"))
+        told_better = told.where("cost > 0").join(better.withColumnRenamed("block", "parent"), "parent", "left_semi")
+        # Blocks with the same members become one, and keep the chains of all of them.
+        same = told_better.groupBy("count", "x", "y").agg(F.min("block").alias("into"), F.max("n").alias("n"), F.max("cost").alias("cost"), F.collect_set("block").alias("blocks"))
+        chosen = materialise(same.select("into", "n", "cost", F.explode("blocks").alias("block")), "chosen")
+        once = chosen.where("block = into")
+        out.append(materialise(parted.join(once.where("n <= 1"), "block", "left_semi").select(*names).distinct(), "parts"))
+        release(large, costs)
+        large = materialise(parted.join(once.where("n > 1"), "block", "left_semi").select(*names).distinct(), "large")
+        costs = materialise(once.where("n > 1").select("block", "cost"), "costs")
+        below = ends.join(found, F.col("src_node") == F.col("node")).select("src", "dst", "hue", F.col("component").alias("block"))
+        below = materialise(below.join(chosen.where("n > 1"), "block").select("src", "dst", "hue", F.col("into").alias("block")), "inside")
+        release(inside, found, parted, told, better, chosen)
+        inside = below
         if not large.limit(1).count():
             break
-    release(inside)
+    release(inside, costs)
     return functools.reduce(DataFrame.union, [*out, large])
 
 
 def tasks_of(members: DataFrame, block_size: int, weight: int) -> DataFrame:
-    """doc_id, cls, task, side (null, 0 or 1) for the members (doc_id, cls, size, block) of the blocks."""
-    pieces_of = _pieces(block_size, weight)
-    counts = members.groupBy("block").agg(pieces_of.alias("n"))
-    sized = members.join(counts, "block")
+    """doc_id, cls, task, side (null, 0 or 1) for the members (doc_id, cls, size, block, comp) of the blocks.
+
+    Blocks and groups whose members all have one comp need no task. Where one comp holds a quarter of a group, its members meet
+    only the others, and so go out once for each piece of these.
+    """
+    members = _with_comp(members)
+    told = _told(members, ["block"], block_size, weight).where("rest > 0").select("block", "n")
+    sized = members.join(told, "block")
     small = sized.where(F.col("n") <= 1).select("doc_id", "cls", F.concat_ws("/", "block").alias("task"), F.lit(None).cast("int").alias("side"))
     step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4.0 / 3.0)) + 1e-9).cast("int")
     # A little slack at the edges of size classes: a member goes to its class's group and the next one.
-    large = sized.where(F.col("n") > 1).withColumn("group", F.explode(F.array(step, step + 1)))
-    pieces = large.groupBy("block", "group").agg(pieces_of.alias("pieces"))
-    large = large.join(pieces, ["block", "group"]).withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    large = large.withColumn("other", other).select("doc_id", "cls", F.concat_ws("/", "block", "group", F.least("piece", "other"), F.greatest("piece", "other")).alias("task"), F.when(F.col("piece") == F.col("other"), F.lit(None)).otherwise((F.col("piece") > F.col("other")).cast("int")).cast("int").alias("side"))
-    return small.union(large)
+    large = sized.where(F.col("n") > 1).drop("n").withColumn("group", F.explode(F.array(step, step + 1)))
+    most = 4 * F.col("most.c") >= F.col("count")
+    groups = _told(large, ["block", "group"], block_size, weight).where("rest > 0").withColumn("top", F.when(most, F.col("most.comp")))
+    groups = groups.withColumn("lefts", F.when(most, _pieces(block_size, weight, "most.c", "most.w")).otherwise(0)).withColumn("pieces", F.when(most, _pieces(block_size, weight, "rest", "rest_weight")).otherwise(F.col("n")))
+    large = large.join(groups.select("block", "group", "top", "lefts", "pieces"), ["block", "group"]).withColumn("in_top", F.col("comp").eqNullSafe(F.col("top")))
+    piece = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = large.where("not in_top").withColumn("piece", piece(F.col("pieces")))
+    pairs = others.withColumn("other", upto("pieces")).select("doc_id", "cls", F.concat_ws("/", "block", "group", F.least("piece", "other"), F.greatest("piece", "other")).alias("task"), F.when(F.col("piece") == F.col("other"), F.lit(None)).otherwise((F.col("piece") > F.col("other")).cast("int")).cast("int").alias("side"))
+    task = F.concat_ws("/", "block", "group", F.lit("top"), "left", "piece").alias("task")
+    ours = large.where("in_top").withColumn("left", piece(F.col("lefts"))).withColumn("piece", upto("pieces")).select("doc_id", "cls", task, F.lit(0).alias("side"))
+    theirs = others.where("lefts > 0").withColumn("left", upto("lefts")).select("doc_id", "cls", task, F.lit(1).alias("side"))
+    return small.union(pairs).union(ours).union(theirs)
 
 
 def links_in(texts: DataFrame, percent: int, n: int) -> DataFrame:
@@ -418,11 +475,22 @@ def _grouped(docs: DataFrame, percent: int, n: int, block_size: int, weight: int
     edges = materialise(chains(prefixes(docs, sketch, percent, n), percent), "edges")
     blocks = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("block"))
     members = materialise(blocks.join(classes.select("cls", F.col("rid").alias("doc_id"), "size"), "cls").select("doc_id", "cls", "size", "block"), "members", rows=n_rows)
-    tasks = materialise(tasks_of(smaller_blocks(members, edges, block_size, weight), block_size, weight), "tasks")
     # By the row's key: rows of one doc_id, or of none, may have several texts.
-    texts = docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep").hint("merge"), F.col("rid") == F.col("rep"))
-    found = connected_components(links_in(texts, percent, n)).select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    release(tasks, members, edges)
+    texts = lambda tasks: docs.withColumn("rid", row_key()).join(tasks.withColumnRenamed("doc_id", "rep").hint("merge"), F.col("rid") == F.col("rep"))
+    first = materialise(first_tasks(members, block_size, weight), "first-tasks")
+    linked = None
+    if first.limit(1).count():
+        linked = materialise(connected_components(links_in(texts(first), percent, n)), "linked", rows=n_rows)
+        known = members.join(linked.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left")
+        alone, members = members, materialise(known.select("doc_id", "cls", "size", "block", F.coalesce("comp", "cls").alias("comp")), "members", rows=n_rows)
+        release(alone)
+    tasks = materialise(tasks_of(smaller_blocks(members, edges, block_size, weight), block_size, weight), "tasks")
+    release(first, edges)
+    links = links_in(texts(tasks), percent, n)
+    if linked is not None:
+        links = links.union(linked.select("node", "component"))
+    found = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    release(tasks, members, *([linked] if linked is not None else []))
     sketch.unpersist()
     rooted = classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

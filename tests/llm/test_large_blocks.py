@@ -98,3 +98,34 @@ def test_the_near_duplicates_stage_sends_strung_texts_few_times(spark, monkeypat
     kept = corpus_pipeline.distinct(spark, docs, "")
     assert sorted(x.doc_id for x in kept.collect()) == list(range(80))
     assert held[0] > 40 and held[1] < 10 * 80
+
+
+def test_a_large_group_of_near_copies_is_sent_few_times(spark, monkeypatch):
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"x{i}" if j == at else w for j, w in enumerate(base)) for i in range(200) for at in [r.randrange(120)]]
+    texts += [" ".join([*base[:60], *(f"y{i}" for i in range(60))]), " ".join([*base[:100], *["z"] * 12]), " ".join(base[:80]), *strung(r, 40)]
+    docs = list(enumerate(texts))
+    first, held = jaccard.first_tasks, counted(monkeypatch)
+    monkeypatch.setattr(jaccard, "first_tasks", lambda *a: held.append((t := first(*a)).count()) or t)
+    got = sorted(map(tuple, jaccard.similar(spark.createDataFrame(docs, DOCS), block_size=20).collect()))
+    assert got == sorted(jaccard.brute_force(docs))
+    assert held[1] >= 200 and held[0] + held[2] < 10 * len(docs)
+
+
+def test_what_is_linked_is_not_compared_again_and_the_rest_is(spark):
+    r = random.Random(9)
+    n, tops = 90, 40  # the first of them are one component
+    comp = {i: 0 if i < tops else i for i in range(n)}
+    rows = [(i, i, 100, 0, comp[i]) for i in range(n)]
+    pairs = [(a, b, h) for h in range(64) for line in [sorted(r.sample(range(n), 60))] for a, b in zip(line, line[1:])]
+    lines = {}
+    for a, b, h in pairs:
+        lines.setdefault(h, set()).update((a, b))
+    members = spark.createDataFrame(rows, "doc_id long, cls long, size int, block long, comp long")
+    tasks = {}
+    for d, t, side in sent(spark, members, spark.createDataFrame(pairs, "src long, dst long, hue long"), block_size=20, weight=1_000_000):
+        tasks.setdefault(t, []).append((d, side))
+    assert all(len(held) < 60 for held in tasks.values())
+    met = {(a, b) for held in tasks.values() for a, x in held for b, y in held if a < b and (x is None or x != y)}
+    assert met >= {(a, b) for line in lines.values() for a in line for b in line if a < b and comp[a] != comp[b]}
