@@ -26,8 +26,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages of 400 bytes or more that occur elsewhere; emptied documents go."""
-    out = repeats.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without passages that occur elsewhere, of 400 bytes or more or of over 50 words; emptied documents go."""
+    out = repeats.without_repeats(docs, words=repeats.WORDS).withColumn("n_chars", F.length("text").cast("long"))
     return out.where((F.col("n_chars") > 0) | F.col("text").isNull()).select(*docs.columns)
 
 

@@ -14,6 +14,9 @@
    aggregation (exact as well, costlier).
 5. Each document takes the union of its occurrences' extents. All are found on the input, not on what is left of it.
 
+Repeats of so many words, whatever white space stands between them, are found in the same way over texts that have eight bytes of
+a hash for each word (without_repeats(words=...)).
+
 Matches never cross documents; a repeat inside one document counts, overlapping or not. Every returned extent is checked byte
 by byte in step 3; classes and step 4 compare 64-bit hashes within one key.
 
@@ -25,7 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,9 @@ from sparkloom.llm.common import arrow, batched, bounded_batches, columns, mater
 
 #: Classes of one key that one task sorts.
 GROUP = 20_000
+#: Words of a repeated passage, at least: over 50.
+WORDS = 51
+_CODE = 8
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _powers: list[np.ndarray] = []
 
@@ -180,13 +188,28 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
+def word_codes(text: str) -> bytes:
+    """_CODE bytes for each word of the text."""
+    return b"".join(map(xxhash.xxh3_64_digest, text.encode().split()))
+
+
+def word_extents(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Bytes of the text from the first to the last word of each span of its word_codes."""
+    if not spans:
+        return []
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    # Codes at either end may have some bytes in common by chance: only whole words count.
+    whole = [(-(-a // _CODE), z // _CODE) for a, z in spans]
+    return [(at[a][0], at[z - 1][1]) for a, z in whole if z - a >= words]
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """Identity of a row: equal rows have equal texts and so equal results."""
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:
-    """Occurrences of maximal repeats: rid (see row_key), start, last (exclusive). docs: rid, text.
+def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP, code: Callable[[str], bytes] = str.encode) -> DataFrame:
+    """Occurrences of maximal repeats: rid (see row_key), start, last (exclusive). docs: rid, text. code: the bytes of a text.
 
     Every table is deleted as soon as its last reader has been written; texts are shuffled once here, to the places whose
     contexts are wanted.
@@ -200,7 +223,7 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
         for b in batches:
             held = []
             for rid, t in zip(*columns(b, "rid", "text")):
-                raw = (t or "").encode()
+                raw = code(t or "")
                 at, h = anchors(raw, length, k)
                 if len(at):
                     first, last = np.maximum(at - before, 0), np.minimum(at + length, len(raw))
@@ -219,7 +242,7 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
     many = materialise(reps.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "many")
     wanted = materialise(reps.join(many.hint("merge"), "key").select(F.col("rid").alias("wid"), "key", "pos", "m"), "wanted")
     release(met)
-    told = materialise(_contexts(docs, wanted, length, before), "contexts", "zstd")
+    told = materialise(_contexts(docs, wanted, length, before, code), "contexts", "zstd")
     release(many, wanted)
     partial = materialise(_scanned(told.where(F.col("m") <= group), length), "partial")
     windows = materialise(_by_windows(told.where(F.col("m") > group), length), "by-windows")
@@ -264,7 +287,7 @@ def judge(batches):
         held, before = new, (key[-1], ctx[-1])
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int, code: Callable[[str], bytes]) -> DataFrame:
     """key, m, rid, pos, before (reversed), after of the wanted places (wid, key, pos, m)."""
     schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 
@@ -275,7 +298,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, before: int) -> D
                 for rid, t, at in zip(*columns(b, "rid", "text", "at")):
                     if rid == last:  # a repeated row: its copy stands for it
                         continue
-                    last, raw = rid, t.encode()
+                    last, raw = rid, code(t)
                     for x in at:
                         p = x["pos"]
                         yield x["key"], x["m"], rid, p, raw[max(0, p - before) : p][::-1], raw[p : p + length]
@@ -333,12 +356,15 @@ def _by_windows(told: DataFrame, length: int) -> DataFrame:
     return windows.join(again, ["key", "back", "hash"], "left_semi").groupBy("rid", "pos").agg(F.max("back").alias("most"), F.min("back").alias("least")).select("rid", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("last"))
 
 
-def with_spans(docs: DataFrame, length: int, k: int, group: int) -> DataFrame:
-    """docs (all columns) with rid and spans, the extents to remove (unmerged; null: none)."""
+def with_spans(docs: DataFrame, length: int, k: int, group: int, words: int | None = None) -> DataFrame:
+    """docs (all columns) with rid and spans, the extents to remove (unmerged; null: none); words: and word_spans, of word_codes."""
     keyed = docs.withColumn("rid", row_key())
-    found = repeats(keyed.select("rid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), length, k, group)
-    per = found.groupBy(F.col("rid").alias("sid")).agg(F.collect_set(F.struct("start", "last")).alias("spans"))
-    return keyed.join(per.hint("merge"), F.col("rid") == F.col("sid"), "left").drop("sid")
+    texts = keyed.select("rid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    per = lambda found, name: found.groupBy(F.col("rid").alias("sid")).agg(F.collect_set(F.struct("start", "last")).alias(name))
+    spans = per(repeats(texts, length, k, group), "spans")
+    if words:
+        spans = spans.join(per(repeats(texts, _CODE * words, k, group, word_codes), "word_spans"), "sid", "full")
+    return keyed.join(spans.hint("merge"), F.col("rid") == F.col("sid"), "left").drop("sid")
 
 
 def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:
@@ -360,19 +386,26 @@ def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP
     return arrow(source.select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:
-    """The documents (all columns) with repeated bytes removed from text; bytes of characters cut in two go as well."""
+def without_repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """The documents (all columns) with repeated bytes removed from text; bytes of characters cut in two go as well.
+
+    words: repeats of at least so many words go too, if they are shorter or differ in white space.
+    """
     names = docs.columns
 
-    def kept(t, s):
-        raw = (t or "").encode()
-        return cut(raw, union([(x["start"], x["last"]) for x in s or ()])).decode("utf-8", "ignore") if s else t
+    def kept(t, s, w):
+        raw, pairs = (t or "").encode(), lambda x: [(y["start"], y["last"]) for y in x or ()]
+        spans = pairs(s) + (word_extents(raw, pairs(w), words) if w else [])
+        return cut(raw, union(spans)).decode("utf-8", "ignore") if spans else t
 
     @F.udf("string", useArrow=True)
-    def without(t, s):
-        return kept(t, s)
+    def without(t, s, w):
+        return kept(t, s, w)
 
-    return with_spans(docs, length, k, group).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(without("text", "spans"))).select(*names)
+    found = with_spans(docs, length, k, group, words)
+    found = found if words else found.withColumn("word_spans", F.lit(None).cast("array<struct<start:long,last:long>>"))
+    none = F.col("spans").isNull() & F.col("word_spans").isNull()
+    return found.withColumn("text", F.when(none, F.col("text")).otherwise(without("text", "spans", "word_spans"))).select(*names)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
