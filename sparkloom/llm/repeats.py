@@ -15,7 +15,7 @@
 5. Each document takes the union of its occurrences' extents. All are found on the input, not on what is left of it.
 
 Repeats of so many words, whatever white space stands between them, are found in the same way over texts that have eight bytes of
-a hash for each word (without_repeats(words=...)).
+a hash for each word (words=... of removed and without_repeats).
 
 Matches never cross documents; a repeat inside one document counts, overlapping or not. Every returned extent is checked byte
 by byte in step 3; classes and step 4 compare 64-bit hashes within one key.
@@ -367,23 +367,35 @@ def with_spans(docs: DataFrame, length: int, k: int, group: int, words: int | No
     return keyed.join(spans.hint("merge"), F.col("rid") == F.col("sid"), "left").drop("sid")
 
 
-def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removed(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    words: and n_passage_bytes, n_passages, the bytes and maximal runs of repeats of at least so many words, shorter than `length`
+    or not; they change none of the other columns.
+    """
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    schema = pa.schema(fields + ([("n_passage_bytes", pa.int64()), ("n_passages", pa.int64())] if words else []))
+    names = ["doc_id", "text", "spans"] + (["word_spans"] if words else [])
 
     def run(batches):
         def rows():
             for b in batches:
-                for d, t, s in zip(*columns(b, "doc_id", "text", "spans")):
+                for d, t, *found in zip(*columns(b, *names)):
                     raw = (t or "").encode()
-                    u = union([(x["start"], x["last"]) for x in s or ()])
-                    yield d, len(raw), sum(z - a for a, z in u), len(u), hashlib.sha256(cut(raw, u)).hexdigest()
+                    u, *w = ([(x["start"], x["last"]) for x in s or ()] for s in found)
+                    u = union(u)
+                    out = d, len(raw), sum(z - a for a, z in u), len(u), hashlib.sha256(cut(raw, u)).hexdigest()
+                    for v in w:
+                        v = union(word_extents(raw, v, words))
+                        out += sum(z - a for a, z in v), len(v)
+                    yield out
 
         yield from batched(rows(), schema)
 
-    source = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, k, group)
-    return arrow(source.select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    source = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, k, group, words)
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_passage_bytes long, n_passages long" if words else "")
+    return arrow(source.select(*names), run, result)
 
 
 def without_repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int = GROUP, words: int | None = None) -> DataFrame:
@@ -409,7 +421,7 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 128, group: int
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=WORDS)
 
 
 def brute_force(docs: list[tuple], length: int = 400) -> list[tuple]:

@@ -63,3 +63,30 @@ def test_many_texts_of_one_passage_window_by_window(spark):
     for group in (3, 100):
         got = repeats.without_repeats(docs, group=group, words=51)
         assert [x.text for x in sorted(got.collect())] == plain(texts)
+
+
+def test_op8_tells_passages_of_over_50_words(spark, tmp_path):
+    r = random.Random(21)
+    prose = lambda n: [f"{r.randrange(10**4):04d}" for _ in range(n)]
+    short, fifty, spaced, long = prose(51), prose(50), prose(60), prose(120)
+    texts = [
+        " ".join(prose(30) + short + prose(20)),
+        " ".join(prose(5) + short),
+        " ".join(prose(30) + fifty + prose(20)),
+        " ".join(fifty + prose(9)),
+        " ".join(prose(8) + spaced + prose(8)),
+        " ".join(prose(3)) + "\n" + "\n ".join(spaced) + "\t" + " ".join(prose(6)),
+        " ".join(short + prose(4) + spaced),
+        " ".join(prose(7) + long),
+        " ".join(prose(9) + long),
+        " ".join(prose(80)),
+        "",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, repeats.op8_suffix_array_dedup(spark, str(tmp_path)).collect()))
+    assert [x[:5] for x in got] == sorted(repeats.brute_force(list(enumerate(texts))))
+    assert [x[2] > 0 for x in got] == [i in (7, 8) for i in range(12)]
+    left = plain([t or "" for t in texts], length=10**6)
+    assert [x[5] for x in got] == [len((t or "").encode()) - len(k.encode()) for t, k in zip(texts, left)]
+    assert [x[6] for x in got] == [1, 1, 0, 0, 1, 1, 2, 1, 1, 0, 0, 0]
