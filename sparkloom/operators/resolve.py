@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.intervals import stabbed
+
 
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key, the last in the order."""
@@ -21,15 +23,10 @@ def callee_in_file(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     return sites.where(F.length("callee_name") > 0).join(last, ["file_path", "callee_name"], "left").withColumn("callee_id", F.coalesce("found", "callee_name")).drop("found")
 
 
-def enclosing(sites: DataFrame, symbols: DataFrame, bucket: int = 256) -> DataFrame:
-    """sites with caller_id, a row for each function or method of the file whose lines hold the site.
-
-    The containment join has (file, line bucket) as its key: a symbol is repeated for the buckets it spans, so a very long file
-    does not meet all of its sites with all of its symbols.
-    """
-    fns = symbols.where(F.lower("kind").isin("function", "method")).select("file_path", F.col("symbol_id").alias("caller_id"), F.col("line").alias("_a"), F.col("end_line").alias("_z"))
-    fns = fns.where("_z >= _a").withColumn("_b", F.explode(F.sequence(F.floor(F.col("_a") / bucket), F.floor(F.col("_z") / bucket))))
-    return sites.withColumn("_b", F.floor(F.col("line") / bucket)).join(fns, ["file_path", "_b"]).where("line between _a and _z").drop("_a", "_z", "_b")
+def enclosing(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """sites with caller_id, a row for each function or method of the file whose lines hold the site."""
+    fns = symbols.where(F.lower("kind").isin("function", "method")).select("file_path", F.col("symbol_id").alias("caller_id"), F.col("line").alias("_from"), F.col("end_line").alias("_to"))
+    return stabbed(sites, fns, "file_path", "line", "_from", "_to").drop("_from", "_to")
 
 
 def call_edges(sites: DataFrame, symbols: DataFrame) -> DataFrame:
