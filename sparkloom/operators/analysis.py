@@ -14,17 +14,18 @@ def all_metrics(symbols: DataFrame, edges: DataFrame, heritage: DataFrame | None
     text = C.complexity(F.col("source")) if "source" in symbols.columns else F.lit(1).cast("long")
     own = F.coalesce(F.col("complexity"), text, F.lit(1)) if "complexity" in symbols.columns else F.coalesce(text, F.lit(1))
     s = symbols.select("id", "name", own.cast("long").alias("complexity"))
-    out = s.join(graph.degrees(s, edges), "id")
+    # No side here is of a size that may be sent to the driver, though its files may be small.
+    out = s.join(graph.degrees(s, edges).hint("merge"), "id")
     if heritage is None:
         return out.withColumn("depth_of_inheritance", F.lit(0).cast("long"))
-    depth = graph.ancestors(heritage, s).groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("depth_of_inheritance"))
-    return out.join(depth, "id", "left").withColumn("depth_of_inheritance", F.coalesce("depth_of_inheritance", F.lit(0)).cast("long"))
+    depth = graph.ancestor_counts(heritage, s).withColumnRenamed("n", "depth_of_inheritance")
+    return out.join(depth.hint("merge"), "id", "left").withColumn("depth_of_inheritance", F.coalesce("depth_of_inheritance", F.lit(0)).cast("long"))
 
 
 def dead_code(symbols: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """id, name, confidence, reason of the symbols that no entry point reaches."""
     gone = symbols.select("id", "name").join(graph.reachable(edges, entries), "id", "left_anti")
-    d = gone.join(graph.degrees(gone, edges).select("id", "fan_in"), "id")
+    d = gone.join(graph.degrees(gone, edges).select("id", "fan_in").hint("merge"), "id")
     name = F.col("name")
     confidence = F.when(name.startswith("test_") | name.contains("_test"), 0.5).when(name.startswith("_"), 0.7).when(F.col("fan_in") == 0, 1.0).otherwise(0.8)
     reason = F.when(name.startswith("test_") | name.contains("_test"), "test").when(name.startswith("_"), "private").when(F.col("fan_in") == 0, "no callers").otherwise(F.concat(F.lit("unreachable, callers: "), F.col("fan_in").cast("string")))

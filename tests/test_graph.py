@@ -169,3 +169,29 @@ def test_containment_of_long_functions(spark):
     want = sorted((line, s) for _, _, line in sites for _, s, a, z, _ in spans if a <= line <= z)
     got = R.enclosing(spark.createDataFrame(sites, "file_path string, callee_name string, line long"), spark.createDataFrame(spans, "file_path string, symbol_id string, line long, end_line long, kind string"))
     assert rows(got, "line", "caller_id") == want
+
+
+@pytest.mark.parametrize("pairs", [
+    [(f"n{i:03}", f"n{i // 2:03}") for i in range(2, 90)] + [("n005", "n005")],
+    [(f"n{i:03}", f"n{i - 1:03}") for i in range(1, 40)] + [("a", "n007"), ("a", "n007")],
+    [(f"n{i:03}", f"n{i - 1:03}") for i in range(1, 9)] + [("n000", "n003"), ("b", "a")],
+    [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")],
+    [("a", "b"), ("b", "a"), ("c", "a")],
+    [],
+])
+def test_counts_of_ancestors(spark, pairs):
+    want = {s: {b for a, b in pairs if a == s} for p in pairs for s in p}
+    for _ in want:
+        want = {s: v.union(*[want[x] for x in v]) for s, v in want.items()}
+    names = sorted({x for p in pairs for x in p}) or ["x"]
+    got = G.ancestor_counts(frame(spark, pairs) if pairs else spark.createDataFrame([], "src string, dst string"), ids(spark, *names))
+    assert rows(got, "id", "n") == sorted((s, len(v - {s})) for s, v in want.items() if v - {s})
+
+
+def test_metrics_of_a_forest_trace_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "trace", None)
+    s = spark.range(1, 200).select("id", F.col("id").cast("string").alias("name"))
+    heritage = s.where("id > 1").select(F.col("id").alias("src"), F.expr("id div 2").alias("dst"))
+    got = A.all_metrics(s, heritage, heritage)
+    assert rows(got, "id", "depth_of_inheritance") == [(i, i.bit_length() - 1) for i in range(1, 200)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
