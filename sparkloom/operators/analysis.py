@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
 from sparkloom.operators import graph
+from sparkloom.operators.intervals import overlapped
 
 
 def all_metrics(symbols: DataFrame, edges: DataFrame, heritage: DataFrame | None = None) -> DataFrame:
@@ -102,9 +103,10 @@ def parse_hunks(lines: DataFrame) -> DataFrame:
 def affected(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol_id, overlap_ratio: share of a symbol's lines in hunks of its file, at most 1, largest first."""
     s = symbols.select("symbol_id", "file_path", F.col("line").alias("a"), F.col("end_line").alias("z"))
-    j = hunks.join(s, "file_path").where("start <= z and end >= a")
-    both = F.least("end", "z") - F.greatest("start", "a") + 1
-    shares = j.groupBy("symbol_id").agg(F.least(F.sum(both) / F.max(F.col("z") - F.col("a") + 1), F.lit(1.0)).alias("overlap_ratio"))
+    # Columns with other names than those of symbols, as both sides may be joined.
+    h = hunks.select("file_path", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    j = overlapped(s, h, "file_path", "a", "z", "_start", "_end")
+    shares = j.groupBy("symbol_id").agg(F.least(F.sum("_both") / F.max(F.col("z") - F.col("a") + 1), F.lit(1.0)).alias("overlap_ratio"))
     return shares.orderBy(F.desc("overlap_ratio"), "symbol_id")
 
 

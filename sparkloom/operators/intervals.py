@@ -7,7 +7,7 @@ dealt to cells, so that tasks get about equal numbers of pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.scratch import checkpointed
@@ -47,3 +47,35 @@ def stabbed(points: DataFrame, intervals: DataFrame, key: str, at: str, a: str,
 
     met = dealt(dots, "_x", "_n", "_y", "_m").join(dealt(rows, "_y", "_m", "_x", "_n").hint("merge"), "_c")
     return met.select(*points.columns, *[c for c in intervals.columns if c != key])
+
+
+def overlapped(intervals: DataFrame, ranges: DataFrame, key: str, a: str, z: str, start: str, end: str) -> DataFrame:
+    """intervals with _both: the sum over ranges (start, end) of the same key of the least of both ends less the greatest of both
+    starts, plus 1, for ranges with start <= z and end >= a. Intervals without any are left out.
+
+    For ends that are not before their starts this is the number of lines of ranges up to z less that before a, so pairs are not
+    formed; a running sum over the places of a key has all those numbers. What ends before it starts is joined with what it meets.
+    """
+    least = F.least(F.col(end), F.col(z)) - F.greatest(F.col(start), F.col(a)) + 1
+    right, odd = ranges.where(F.col(end) >= F.col(start)), ranges.where(F.col(end) < F.col(start))
+    event = lambda at, n, s: F.struct(F.col(key).alias(key), at.cast("long").alias("_at"), n.alias("_n"), s.cast("long").alias("_s"))
+    none = F.lit(0).cast("long")
+    events = right.select(F.explode(F.array(event(F.col(start), F.lit(1), 1 - F.col(start)), event(F.col(end) + 1, F.lit(-1), F.col(end)))).alias("e")).select("e.*")
+    sound = intervals.where(F.col(z) >= F.col(a))
+    asked = sound.select(F.explode(F.array(event(F.col(z), none, none), event(F.col(a) - 1, none, none))).alias("e")).select("e.*")
+    places = events.unionByName(asked).groupBy(key, "_at").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    so_far = Window.partitionBy(key).orderBy("_at")
+    lines = checkpointed(places.select(key, "_at", (F.col("_at") * F.sum("_n").over(so_far) + F.sum("_s").over(so_far)).alias("_f")))
+    upto = lambda at, name: lines.select(F.col(key), F.col("_at").alias(at), F.col("_f").alias(name))
+    ends = sound.withColumns({"_to": F.col(z).cast("long"), "_from": F.col(a).cast("long") - 1})
+    ends = ends.join(upto("_to", "_g"), [key, "_to"]).join(upto("_from", "_h"), [key, "_from"])
+    out = ends.withColumn("_both", F.col("_g") - F.col("_h")).where("_both > 0").select(*intervals.columns, "_both")
+    # An interval that ends before it starts meets ranges over both its ends, a range that does meets intervals over both of its.
+    bent = intervals.where(F.col(z) < F.col(a))
+    if not bent.isEmpty():
+        met = stabbed(bent, right, key, z, start, end).where(F.col(end) >= F.col(a))
+        out = out.unionByName(met.select(*intervals.columns, least.cast("long").alias("_both")))
+    if not odd.isEmpty():
+        met = stabbed(odd, intervals, key, start, a, z).where(F.col(end) >= F.col(a))
+        out = out.unionByName(met.select(*intervals.columns, least.cast("long").alias("_both")))
+    return out
