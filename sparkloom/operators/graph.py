@@ -107,11 +107,16 @@ def subgraph(edges: DataFrame, centre, caller_depth: int = 2, callee_depth: int
     return up.union(trace(edges, seed, callee_depth).select("id", "depth", F.lit("callee").alias("direction")))
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without incoming or without outgoing edges are taken away until none is left; no self loops."""
+#: Edges that one task may hold to find their components, some 200 MB of Python's memory. More are worked on by all tasks.
+HELD = 500_000
+
+
+def trimmed(edges: DataFrame, enough: int = 0) -> DataFrame:
+    """Edges left when nodes without incoming or without outgoing edges are taken away until none is left, or enough edges have
+    gone for the rest to be no more than that; no self loops."""
     e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
     n = e.count()
-    while n:
+    while n > enough:
         e = checkpointed(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if (m := e.count()) == n:
             break
@@ -119,8 +124,60 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return e
 
 
+def _components_of_few(e: DataFrame) -> DataFrame:
+    """strong_components of HELD edges at most, in one task by Tarjan's algorithm."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        to, kind = {}, None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for a, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                to.setdefault(a, []).append(z)
+        number, low, held, stack, out = {}, {}, set(), [], ([], [])
+        for root in to:
+            if root in number:
+                continue
+            number[root] = low[root] = len(number)
+            stack.append(root)
+            held.add(root)
+            path = [(root, iter(to[root]))]
+            while path:
+                a, rest = path[-1]
+                for z in rest:
+                    if z not in number:
+                        number[z] = low[z] = len(number)
+                        stack.append(z)
+                        held.add(z)
+                        path.append((z, iter(to.get(z, ()))))
+                        break
+                    if z in held:
+                        low[a] = min(low[a], number[z])
+                else:
+                    path.pop()
+                    if path:
+                        low[path[-1][0]] = min(low[path[-1][0]], low[a])
+                    if low[a] == number[a]:
+                        at = len(stack) - 1
+                        while stack[at] != a:
+                            at -= 1
+                        part = stack[at:]
+                        del stack[at:]
+                        held.difference_update(part)
+                        if len(part) > 1:
+                            out[0].extend(part)
+                            out[1].extend([min(part)] * len(part))
+        for i in range(0, len(out[0]), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 10_000], kind) for c in out], names=["id", "component"])
+
+    kind = dict(e.dtypes)["src"]
+    return checkpointed(e.repartition(1).mapInArrow(run, f"id {kind}, component {kind}"))
+
+
 def has_cycle(edges: DataFrame) -> bool:
-    return not trimmed(edges).isEmpty()
+    e = trimmed(edges, HELD)
+    return e.count() > HELD or not _components_of_few(e).isEmpty()
 
 
 def _propagate(e: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,11 +202,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of strongly connected components of two nodes or more.
 
     Forward-backward colouring: every node takes the least id that reaches it; what reaches the colour's root within the colour
-    is the root's component. The rest goes another round.
+    is the root's component. The rest goes another round, until it is small enough for one task.
     """
-    e = trimmed(edges)
+    e = trimmed(edges, HELD)
     out = None
-    while not e.isEmpty():
+    while e.count() > HELD:
         nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
         colour = checkpointed(_propagate(e, checkpointed(nodes.select("id", F.col("id").alias("label")))))
         inside = e.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
@@ -160,8 +217,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         many = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
         part = found.join(many, "component", "left_semi").select("id", "component")
         out = part if out is None else out.union(part)
-        e = trimmed(e.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    return out if out is not None else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+        e = trimmed(e.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"), HELD)
+    part = _components_of_few(e)
+    return part if out is None else out.union(part)
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:

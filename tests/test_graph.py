@@ -195,3 +195,19 @@ def test_metrics_of_a_forest_trace_no_pairs(spark, monkeypatch):
     got = A.all_metrics(s, heritage, heritage)
     assert rows(got, "id", "depth_of_inheritance") == [(i, i.bit_length() - 1) for i in range(1, 200)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [0, 9, 10**6])
+def test_components_are_the_same_in_one_task_and_in_all(spark, monkeypatch, held):
+    monkeypatch.setattr(G, "HELD", held)
+    # Rings of 2, 3 and 30, a bridge between two of them, a tail, a self loop.
+    pairs = [("a", "b"), ("b", "a"), ("d", "c"), ("c", "e"), ("e", "d"), ("b", "c"), ("e", "t"), ("t", "u"), ("u", "u")] + [(f"r{i:02}", f"r{(i + 1) % 30:02}") for i in range(30)]
+    want = sorted([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")] + [(f"r{i:02}", "r00") for i in range(30)])
+    assert rows(G.strong_components(frame(spark, pairs)), "id", "component") == want
+    assert G.has_cycle(frame(spark, pairs)) and not G.has_cycle(frame(spark, [("a", "b"), ("b", "c"), ("c", "c")]))
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(G, "_propagate", None)
+    ring = [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)]
+    assert G.strong_components(frame(spark, ring)).select("component").distinct().count() == 1
