@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import tokens
+from sparkloom.scratch import checkpointed
 
 K1, B = 1.2, 0.75
 
@@ -35,10 +36,17 @@ class Index:
         stats = each.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
         placed = F.transform(F.col("t"), lambda x, i: F.struct(x.alias("term"), i.alias("place")))
         if terms is not None:
-            placed = F.filter(placed, lambda p: p.term.isin(terms) if terms else F.lit(False))
+            # One look at the texts: beside its hits a document has a row without a term, which the statistics are counted from.
+            bare = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("place")))
+            placed = F.concat(bare, F.filter(placed, lambda p: p.term.isin(terms) if terms else F.lit(False)))
         hits = each.select("id", "field", F.size("t").alias("dl"), F.explode(placed).alias("p"))
         grouped = hits.groupBy("id", "field", "dl", F.col("p.term").alias("term")).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("p.place")).alias("places"))
-        return cls(grouped.select("id", "field", "term", "tf", "dl", "places"), stats)
+        postings = grouped.select("id", "field", "term", "tf", "dl", "places")
+        if terms is None:
+            return cls(postings, stats)
+        held = checkpointed(postings)
+        sizes = held.where("term is null").groupBy("field").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))
+        return cls(held.where("term is not null"), checkpointed(sizes))
 
     def hits(self, terms: list[str], fields: list[str]) -> DataFrame:
         """Postings of the terms in the fields: a filter that a stored index hands to its scan."""

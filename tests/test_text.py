@@ -117,3 +117,18 @@ def test_ignore_lines():
     cases = [("*.min.js", "a/b.min.js", True), ("/top", "top/x.js", True), ("/top", "in/top/x.js", False), ("out/", "a/out/x.js", True), ("a/**/z.js", "a/b/c/z.js", True), ("doc?.js", "doc1.js", True)]
     for (pattern, path, want), _ in itertools.product(cases, [0]):
         assert bool(re.search(ignore_regex(pattern), path)) is want, pattern
+
+
+def test_a_search_looks_at_the_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(NAMES)] + [(5, None)], "id int, name string")
+    got = S.search(d.mapInArrow(look, "id int, name string"), '(red OR sky) AND door NOT "red door"')
+    assert rows(got, "id") == [(4,)] and seen.value == len(NAMES) + 1
+    stored = S.search(S.Index.of(d, ["name"]), '(red OR sky) AND door NOT "red door"')
+    assert got.first().score == pytest.approx(stored.first().score)
